@@ -146,7 +146,7 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead, pa.float64())], names=[*batch.schema.names, "lead"])
 
     placed = materialize(classes.mapInArrow(first, T.StructType([*classes.schema, T.StructField("lead", T.DoubleType())])), "placed")
-    quantiles = placed.groupBy("label", "dim").agg(F.percentile_approx("lead", [k / CELLS for k in range(1, CELLS)], 10_000).alias("cuts"), F.count("*").alias("n"))
+    quantiles = placed.groupBy("label", "dim").agg(F.expr(f"percentile_approx(lead, array({', '.join(f'{k / CELLS}D' for k in range(1, CELLS))}), 10000)").alias("cuts"), F.count("*").alias("n"))
     cell = F.size(F.filter("cuts", lambda c: c < F.col("lead")))
     cells = F.least(F.lit(CELLS), F.ceil(F.col("n") / block))
     placed = placed.join(quantiles, ["label", "dim"]).withColumn("cell", F.floor(cell * cells / CELLS).cast("int")).drop("cuts", "n")
