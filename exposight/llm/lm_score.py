@@ -27,7 +27,7 @@ from ._spark import crc_text, materialize
 
 _U = np.uint64
 END = _words.mix(np.array([0xE0D], np.uint64))[0]
-HOLD = 3_000_000
+HOLD = 2_000_000
 
 
 def sequence(chunk: _words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -62,56 +62,90 @@ class Table:
         return out
 
 
-def _count(order: int, shared):
-    """Counts of n-grams of one order in a task; with shared, only of those whose two shorter n-grams are kept."""
+def _blobs(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Arrays as one binary row for each part of the key space; columns[0] are the keys."""
+    part = (columns[0] % _U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(ends))
+    for s in range(0, len(some), 64):
+        rows = some[s : s + 64]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows.astype(np.int32)), *(pa.array([c[order[ends[r] : ends[r + 1]]].tobytes() for r in rows], pa.binary()) for c in columns)], names=["part", *"abc"[: len(columns)]]
+        )
+
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-    def emit(parts):
-        key, ctx, low = (np.concatenate(x) for x in list(zip(*parts))[:3])
-        weight = np.concatenate([p[3] for p in parts])
-        some, first, back = np.unique(key, return_index=True, return_inverse=True)
-        return [(some, ctx[first], low[first], np.bincount(back, weight, len(some)).astype(np.int64))]
 
-    def batches_of(part):
-        key, ctx, low, n = part
-        for s in range(0, len(key), 100_000):
-            e = slice(s, s + 100_000)
-            arrays = [pa.array(key[e].view(np.int64))] + ([pa.array(ctx[e].view(np.int64)), pa.array(low[e].view(np.int64))] if order > 1 else []) + [pa.array(n[e])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "ctx", "low", "n"] if order > 1 else ["key", "n"])
+def _count(order: int, shared, parts: int):
+    """Counts of n-grams of one order in a task; with shared, only of those whose two shorter n-grams are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value) if shared is not None else None
-        parts, held = [], 0
+        held, size = [], 0
         for batch in batches:
             for chunk in _words.words(batch.column("text")):
                 hashes, bounds = sequence(chunk)
                 key, at = _words.ngrams(hashes, bounds, order)
-                if not len(key):
-                    continue
-                ctx = low = key
-                if order > 1:
+                if order > 1 and table is not None:
                     short, sb = _words.ngrams(hashes, bounds, order - 1)
-                    size = np.diff(at)
-                    left = np.repeat(sb[:-1] - at[:-1], size) + np.arange(at[-1])
-                    if table is not None:
-                        known = table.has(short)
-                        ok = known[left] & known[left + 1]
-                        key, left = key[ok], left[ok]
-                    ctx, low = short[left], short[left + 1]
-                some, first, n = np.unique(key, return_index=True, return_counts=True)
-                parts.append((some, ctx[first], low[first], n))
-                held += len(some)
-                if held > HOLD:
-                    parts = emit(parts)
-                    held = len(parts[0][0])
-                    if held > HOLD // 2:
-                        yield from batches_of(parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield from batches_of(emit(parts)[0])
+                    left = np.repeat(sb[:-1] - at[:-1], np.diff(at)) + np.arange(at[-1])
+                    known = table.has(short)
+                    key = key[known[left] & known[left + 1]]
+                held.append(key)
+                size += len(key)
+                if size > HOLD:
+                    some, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield from _blobs([some, n.astype(np.uint32)], parts)
+                    held, size = [], 0
+        if size:
+            some, n = np.unique(np.concatenate(held), return_counts=True)
+            yield from _blobs([some, n.astype(np.uint32)], parts)
+
+    return run
+
+
+def _merge(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        some, back = np.unique(_joined(table, "a", np.uint64), return_inverse=True)
+        n = np.bincount(back, _joined(table, "b", np.uint32), len(some)).astype(np.int64)
+        keep = n >= least
+        return pa.table({"key": some[keep].view(np.int64), "c": n[keep]})
+
+    return run
+
+
+def _links(order: int, shared, parts: int):
+    """Of each kept n-gram met: itself, its context and its suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(shared.value)
+        fresh = np.ones(len(table.keys), bool)
+        for batch in batches:
+            for chunk in _words.words(batch.column("text")):
+                hashes, bounds = sequence(chunk)
+                key, at = _words.ngrams(hashes, bounds, order)
+                short, sb = _words.ngrams(hashes, bounds, order - 1)
+                place, where = table.find(key)
+                new = fresh[where]
+                where, first = np.unique(where[new], return_index=True)
+                place = place[new][first]
+                fresh[where] = False
+                row = np.searchsorted(at, place, "right") - 1
+                left = sb[row] + place - at[row]
+                if len(place):
+                    yield from _blobs([key[place], short[left], short[left + 1]], parts)
 
     return run
 
 
+def _one_link(table: pa.Table) -> pa.Table:
+    key, first = np.unique(_joined(table, "a", np.uint64), return_index=True)
+    return pa.table({"key": key.view(np.int64), "ctx": _joined(table, "b", np.int64)[first], "low": _joined(table, "c", np.int64)[first]})
+
+
 def _sum(order: int, discount: float, shared, singles: bool, block: int, blocks: int):
     """Adds up, for each row, what the n-grams of one block of the automaton give."""
 
@@ -156,39 +190,52 @@ def _key_array(table: pa.Table) -> np.ndarray:
     return table.column("key").combine_chunks().to_numpy().view(np.uint64)
 
 
-def train(docs: DataFrame, order: int = 3, least: int = 3, discount: float = 0.75, most_keys: int = 8_000_000) -> tuple[DataFrame, int, int]:
+def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.75, most_keys: int = 8_000_000) -> tuple[DataFrame, int, int]:
     """(automaton, N, V) from documents(text).  automaton: key, k (order), c, delta, bow; unigrams all, longer n-grams kept.
 
     An n-gram can only be kept if both n-grams one shorter are, so only those are counted (where their
-    set is within most_keys; beyond it all are counted, with the same result).
+    set is within most_keys; beyond it all are counted, with the same result).  Counts are merged in parts of the key space
+    whose number follows the corpus, so a part's size does not.
     """
     spark = docs.sparkSession
-    counts = materialize(docs.mapInArrow(_count(1, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "counts1")
+    parts = 16 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 8_000_000
+    blob = "part int, a binary, b binary"
+
+    def counted(k: int, shared, floor: int) -> DataFrame:
+        return materialize(docs.mapInArrow(_count(k, shared, parts), blob).groupBy("part").applyInArrow(_merge(floor), "key long, c long"), f"counts{k}")
+
+    counts = counted(1, None, 1)
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     level = counts.select("key", F.lit(1).alias("k"), "c", ((F.col("c") - discount) / max(total, 1)).alias("p"), F.lit(0.0).alias("delta"))
-    levels, kept = [level], counts.filter(F.col("c") >= least)
+    done, kept = [], counts.filter(F.col("c") >= least)
     for k in range(2, order + 1):
         shared = spark.sparkContext.broadcast(_key_array(kept.select("key").toArrow())) if kept.count() <= most_keys else None
-        grams = docs.mapInArrow(_count(k, shared), "key long, ctx long, low long, n long").groupBy("key").agg(F.sum("n").alias("c"), F.first("ctx").alias("ctx"), F.first("low").alias("low")).filter(F.col("c") >= least)
-        grams = materialize(grams, f"counts{k}")
-        below = levels[-1].select("key", "c", "p")
+        grams = counted(k, shared, least)
+        n = grams.count()
+        found = None
+        for b in range(blocks := max(1, -(-n // most_keys))):
+            keys = _key_array(grams.filter(_unsigned_mod("key", blocks) == b).select("key").toArrow())  # about most_keys
+            rows = docs.mapInArrow(_links(k, spark.sparkContext.broadcast(keys), parts), f"{blob}, c binary")
+            found = rows if found is None else found.unionByName(rows)
+        links = found.groupBy("part").applyInArrow(_one_link, "key long, ctx long, low long")
+        grams = materialize(grams.join(links, "key"), f"grams{k}")
+        below = level.filter(F.col("c") >= least)
         left = grams.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("used")).join(below.select(F.col("key").alias("ctx"), F.col("c").alias("of")), "ctx")
-        left = left.select("ctx", "of", (1 - F.col("used") / F.col("of")).alias("g"))
-        levels[-1] = materialize(levels[-1].join(left.select(F.col("ctx").alias("key"), F.log10("g").alias("bow")), "key", "left").withColumn("bow", F.coalesce("bow", F.lit(0.0))), f"level{k - 1}")
+        left = materialize(left.select("ctx", "of", (1 - F.col("used") / F.col("of")).alias("g")), f"left{k}")
+        bows = left.select(F.col("ctx").alias("key"), F.log10("g").alias("bow"))
+        done.append(below.join(bows, "key", "left").withColumn("bow", F.coalesce("bow", F.lit(0.0))).unionByName(level.filter(F.col("c") < least).withColumn("bow", F.lit(0.0))))
         p = (F.col("c") - discount) / F.col("of") + F.col("g") * F.col("p_low")
         level = grams.join(left, "ctx").join(below.select(F.col("key").alias("low"), F.col("p").alias("p_low")), "low").withColumn("p", p)
-        level = level.select("key", F.lit(k).alias("k"), "c", "p", (F.log10("p") - F.log10("g") - F.log10("p_low")).alias("delta"))
-        levels.append(level)
+        level = materialize(level.select("key", F.lit(k).alias("k"), "c", "p", (F.log10("p") - F.log10("g") - F.log10("p_low")).alias("delta")), f"level{k}")
         kept = grams
-    levels[-1] = materialize(levels[-1].withColumn("bow", F.lit(0.0)), f"level{order}")
-    out = levels[0]
-    for x in levels[1:]:
+    out = level.withColumn("bow", F.lit(0.0))
+    for x in done:
         out = out.unionByName(x)
-    return out.select("key", "k", "c", "delta", "bow"), total, distinct
+    return materialize(out.select("key", "k", "c", "delta", "bow"), "automaton"), total, distinct
 
 
 def lm_scores(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 3, least: int = 3, discount: float = 0.75, block_keys: int = 4_000_000, single_keys: int = 8_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 2, least: int = 3, discount: float = 0.75, block_keys: int = 4_000_000, single_keys: int = 8_000_000
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 

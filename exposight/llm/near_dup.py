@@ -2,9 +2,10 @@
 
 Each permutation (multiply-add of the 64-bit shingle hash) gives both its minimum and its maximum, so 40 permutations make a
 signature of 80 values; bands of 5 values find candidates.  Documents with equal sets collapse to one first.
-Within a bucket documents meet one pivot, not each other; confirmed links merge classes, and only members of
-a bucket that are still in different classes are compared further, so a group of copies costs about its size
-and no link between classes is lost.
+Within a bucket documents meet one pivot, not each other, and confirmed links merge classes.  Two members of a bucket
+whose classes still differ can only be linked if what they have of the pivot suffices, which is checked from
+counts, or if they share a shingle outside the pivot, which makes them a bucket of the next round.  So a group of copies costs
+about its size and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words
-from ._spark import drop, materialize
+from ._spark import materialize
 from .components import connected_components
 
 _U = np.uint64
@@ -103,23 +105,28 @@ def _sets(n: int):
     return run
 
 
-def _linked(share: int, whole: int):
-    """Keeps pairs with whole * intersection >= share * union."""
+def _compare(share: int, whole: int):
+    """For pairs of a pivot and a member: how much they have in common, whether they are linked, what the member has besides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            common, linked, extras = [], [], []
+            for x, y in zip(batch.column("set_m"), batch.column("set_p")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y)
-                common = both - len(np.unique(np.concatenate((x, y)))) if whole * min(len(x), len(y)) >= share * max(len(x), len(y)) else 0
-                keep.append(whole * common >= share * (both - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                has = y[at] == x
+                n = int(has.sum())
+                common.append(n)
+                linked.append(whole * n >= share * (len(x) + len(y) - n))
+                extras.append(x[~has].view(np.int64))
+            ends = np.cumsum([0, *map(len, extras)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate(extras) if extras else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("m"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), lists], names=["p", "m", "common", "linked", "extras"])
 
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df.
 
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased; a set is the distinct n-word shingles, or the
@@ -136,40 +143,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = docs.filter("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count("*").alias("m"), F.max("id").alias("top"))
     classes = materialize(classes, "classes")
     members = docs.filter("n_shingles > 0 and id is not null").join(classes.filter("top > rep").select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    posts = classes.select("rep", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    posts = materialize(posts.join(shared, "key").distinct(), "posts")
+    posts = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("in_key")).filter("in_key > 1")
+    posts = materialize(posts.join(shared, "key"), "posts")
     wanted = posts.select(F.col("rep").alias("id")).distinct()
-    sets = slim.join(wanted, "id").join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
+    sets = slim.join(wanted, "id").join(classes.select(F.col("rep").alias("id"), "d1", "d2", "n_shingles"), "id")
+    # An id in several rows has several sets; the class's own is the one that is compared.
     sets = materialize(sets.mapInArrow(_sets(n), "id long, set binary").dropDuplicates(["id"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        return materialize(full.mapInArrow(_linked(share, whole), "a long, b long"), "links")
-
-    links = materialize(posts.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")), "links")
-    current = posts.withColumn("comp", F.col("rep"))
-    for k in range(rounds + 1):
-        # Buckets in which classes still differ, and how many pairs across classes they hold.
-        sizes = current.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep")).alias("first"))
-        open_ = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps"), F.min(F.struct(F.col("first"), F.col("comp"))).alias("pivot")).filter("comps > 1")
-        open_ = materialize(open_.select("key", "n", "own", F.col("pivot.first.rep").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "open")
-        across, members_open = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        if not across:
-            break
-        live = current.join(open_, "key")
-        if k == rounds or across <= 2 * members_open:
-            a, b = live.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), live.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-        else:
-            pairs = live.filter("comp <> pivot_comp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = confirm(pairs)
+        full = pairs.join(sets.select(F.col("id").alias("m"), F.col("set").alias("set_m")), "m").join(sets.select(F.col("id").alias("p"), F.col("set").alias("set_p")), "p")
+        return materialize(full.mapInArrow(_compare(share, whole), "p long, m long, common long, linked boolean, extras array<long>"), "compared")
+
+    def reaches(common, one, other):
+        return whole * common >= share * (one + other - common)
+
+    links = None
+    for k in range(rounds):
+        # The member that meets most others is the pivot: in a group of edited copies, the text they were made from.
+        weights = posts.groupBy("rep").agg(F.sum("in_key").alias("weight"))
+        pivots = posts.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("p"), F.min("n_shingles").alias("least"))
+        placed = materialize(posts.join(pivots, "key").select("key", "p", F.col("rep").alias("m"), "n_shingles", "least"), "placed")
+        compared = confirm(placed.filter("p <> m").select("p", "m").distinct())
+        found = compared.filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        comps = materialize(connected_components(links), "comps").select(F.col("node").alias("m"), "component")
+        state = placed.join(comps, "m", "left").withColumn("comp", F.coalesce("component", "m")).drop("component")
+        # Two members without a link that share no shingle outside their pivot have in common at most what each has of it.
+        open_ = state.groupBy("key").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1").select("key")
+        live = materialize(state.join(open_, "key").filter("p <> m").join(compared.select("p", "m", "common", "linked"), ["p", "m"]), "live")
+        some = live.filter("not linked").filter(reaches(F.least("common", "least"), F.col("least"), F.col("n_shingles")))
+        some = some.select("key", F.col("m").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("xb"))
+        close = live.select("key", "m", "comp", "n_shingles", "common").join(some, "key").filter(F.col("comp") != F.col("cb")).filter(reaches(F.least("common", "xb"), F.col("n_shingles"), F.col("nb")))
+        close = close.select(F.least("m", "b").alias("p"), F.greatest("m", "b").alias("m")).distinct()
+        found = confirm(close).filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b"))
         links = links.unionByName(found)
-        if k == rounds or across <= 2 * members_open:
+        # Those that share enough outside it are buckets of the next round.  A member needs `short` shingles in common with
+        # a partner outside the pivot; with shingles in one order, the useful ones last, two partners then share one
+        # among all but the last short - 1 of each.
+        met = live.groupBy("p", "m").agg(F.first("comp").alias("comp"), F.first("n_shingles").alias("n_shingles"), F.min("least").alias("least")).join(compared.select("p", "m", "common", "extras"), ["p", "m"])
+        partner = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * share / whole))
+        met = met.withColumn("short", F.greatest(F.lit(1), F.ceil((F.col("n_shingles") + partner) * share / (share + whole)) - F.col("common"))).filter(F.size("extras") >= F.col("short"))
+        outside = met.select("p", F.col("m").alias("rep"), "comp", "n_shingles", "short", F.explode("extras").alias("x"))
+        useful = outside.groupBy("p", "x").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("often")).filter("c0 <> c1").select("p", "x", "often")
+        ranked = outside.join(useful, ["p", "x"]).withColumn("rank", F.row_number().over(W.partitionBy("p", "rep").orderBy("often", "x"))).withColumn("useful", F.count("*").over(W.partitionBy("p", "rep")))
+        outside = ranked.filter("rank <= useful - short + 1").select(F.xxhash64("p", "x").alias("key"), "rep", "comp", "n_shingles")
+        again = outside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("in_key")).filter("c0 <> c1").select("key", "in_key")
+        posts = materialize(outside.join(again, "key").select("key", "rep", "comp", "n_shingles", "in_key"), "posts")
+        if posts.isEmpty():
             break
-        comps = materialize(connected_components(links), "comps")
-        current = materialize(posts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "current")
-        drop(open_)
+    else:  # members that still share something outside every pivot, pair by pair
+        one, two = posts.select("key", F.col("rep").alias("p"), F.col("comp").alias("cp")), posts.select("key", F.col("rep").alias("m"), F.col("comp").alias("cm"))
+        rest = confirm(one.join(two, "key").filter("p < m and cp <> cm").select("p", "m").distinct())
+        links = links.unionByName(rest.filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b")))
     comps = connected_components(links.unionByName(members))
     out = docs.join(comps.withColumnRenamed("node", "id"), "id", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
