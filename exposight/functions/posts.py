@@ -35,7 +35,11 @@ def _links(at: str, source: str) -> Column:
     p = f"{at}." if at else ""
     empty = F.array().cast("array<struct<url:string,expanded_url:string>>")
     both = [F.coalesce(f"{p}extended_tweet.entities.{k}", f"{p}entities.{k}", empty) for k in ("urls", "media")]
-    return F.concat(*[F.transform(c, lambda x, k=k: F.struct(x["url"].alias("shortened_url"), x["expanded_url"].alias("canonical_url"), F.lit(source).alias("where_url_found"), F.lit(k).alias("kind"))) for c, k in zip(both, ("url", "media"))])
+
+    def as_rows(kind: str):
+        return lambda x: F.struct(x["url"].alias("shortened_url"), x["expanded_url"].alias("canonical_url"), F.lit(source).alias("where_url_found"), F.lit(kind).alias("kind"))
+
+    return F.concat(*[F.transform(c, as_rows(k)) for c, k in zip(both, ("url", "media"))])
 
 
 def links(posts: DataFrame) -> DataFrame:
@@ -57,7 +61,8 @@ def interaction_tags(posts: DataFrame, people: dict[str, int]) -> DataFrame:
     rt, qt, rp = F.col("retweeted_status.user.id_str"), F.col("quoted_status.user.id_str"), F.col("in_reply_to_user_id_str")
     acts = [F.when(c == str(i), F.lit(f"{n}_{kind}")) for n, i in people.items() for c, kind in ((rt, "RT"), (qt, "QT"), (rp, "reply"))]
     empty = F.array().cast("array<struct<id:bigint,screen_name:string>>")
-    mentions = [F.when(F.exists(F.coalesce("entities.user_mentions", empty), lambda m, i=i: m["id"] == i), F.lit(f"{n}_mention")) for n, i in people.items()]
+    ids = F.transform(F.coalesce("entities.user_mentions", empty), lambda m: m["id"])
+    mentions = [F.when(F.array_contains(ids, i), F.lit(f"{n}_mention")) for n, i in people.items()]
     done = F.array_compact(F.array(*acts))
     tags = F.when(F.size(done) > 0, done).otherwise(F.array_compact(F.array(*mentions)))
     return posts.select(F.col("id_str").alias("tweet_id"), F.array_join(F.array_sort(F.array_distinct(tags)), "||").alias("tags"))

@@ -674,8 +674,12 @@ def propensity_match(s, d):
 
 # Streams, each with a batch equivalent
 def _stream(s, d):
+    """The events table as a file stream; a table in one file is picked out of its folder by name."""
     src = T(s, d, "events")
-    return s.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet*").parquet(d if d.endswith("/") else d + "/") if src.inputFiles()[0].endswith("/events.parquet") else s.readStream.schema(src.schema).parquet(f"{d}/events.parquet")
+    one = all(f.rstrip("/").endswith("events.parquet") for f in src.inputFiles())
+    read = s.readStream.schema(src.schema)
+    stream = read.option("pathGlobFilter", "events.parquet").parquet(d) if one else read.parquet(f"{d}/events.parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL", shared=False)
@@ -715,5 +719,5 @@ def lag_ntile(s, d):
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS n_view, count(*) FILTER (WHERE event_type = 'click') AS n_click FROM events GROUP BY 1", shared=False)
 def pivot_counts(s, d):
-    p = T(s, d, "events").groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.count("*"))
+    p = T(s, d, "events").groupBy("user_id").pivot("event_type", ["view", "click"]).agg(F.count(F.lit(1)))
     return p.select("user_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}") for c in ("view", "click")])
