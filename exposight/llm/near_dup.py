@@ -126,7 +126,7 @@ def _compare(share: int, whole: int):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, rounds: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, rounds: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df.
 
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased; a set is the distinct n-word shingles, or the
@@ -159,7 +159,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return whole * common >= share * (one + other - common)
 
     links = None
-    for k in range(rounds):
+    for _ in range(rounds):
         # The member that meets most others is the pivot: in a group of edited copies, the text they were made from.
         weights = posts.groupBy("rep").agg(F.sum("in_key").alias("weight"))
         pivots = posts.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("p"), F.min("n_shingles").alias("least"))
@@ -190,9 +190,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         outside = ranked.filter("rank <= useful - short + 1").select(F.xxhash64("p", "x").alias("key"), "rep", "comp", "n_shingles")
         again = outside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("in_key")).filter("c0 <> c1").select("key", "in_key")
         posts = materialize(outside.join(again, "key").select("key", "rep", "comp", "n_shingles", "in_key"), "posts")
-        if posts.isEmpty():
+        remaining, pairs = posts.agg(F.count("*"), F.sum(F.col("in_key") - 1) / 2).first()
+        if (pairs or 0) <= 4 * remaining:
             break
-    else:  # members that still share something outside every pivot, pair by pair
+    if remaining:  # members that still share something outside every pivot, pair by pair: few a row by now, unless `rounds` were not enough
         one, two = posts.select("key", F.col("rep").alias("p"), F.col("comp").alias("cp")), posts.select("key", F.col("rep").alias("m"), F.col("comp").alias("cm"))
         rest = confirm(one.join(two, "key").filter("p < m and cp <> cm").select("p", "m").distinct())
         links = links.unionByName(rest.filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b")))
