@@ -190,7 +190,7 @@ def _key_array(table: pa.Table) -> np.ndarray:
     return table.column("key").combine_chunks().to_numpy().view(np.uint64)
 
 
-def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.75, most_keys: int = 8_000_000) -> tuple[DataFrame, int, int]:
+def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.75, most_keys: int = 5_000_000) -> tuple[DataFrame, int, int]:
     """(automaton, N, V) from documents(text).  automaton: key, k (order), c, delta, bow; unigrams all, longer n-grams kept.
 
     An n-gram can only be kept if both n-grams one shorter are, so only those are counted (where their
@@ -211,13 +211,19 @@ def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.7
     for k in range(2, order + 1):
         shared = spark.sparkContext.broadcast(_key_array(kept.select("key").toArrow())) if kept.count() <= most_keys else None
         grams = counted(k, shared, least)
+        if shared is not None:
+            shared.destroy()
         n = grams.count()
         found = None
         for b in range(blocks := max(1, -(-n // most_keys))):
             keys = _key_array(grams.filter(_unsigned_mod("key", blocks) == b).select("key").toArrow())  # about most_keys
-            rows = docs.mapInArrow(_links(k, spark.sparkContext.broadcast(keys), parts), f"{blob}, c binary")
+            shared = spark.sparkContext.broadcast(keys)
+            rows = docs.mapInArrow(_links(k, shared, parts), f"{blob}, c binary").groupBy("part").applyInArrow(_one_link, "key long, ctx long, low long")
+            rows = materialize(rows, f"links{k}")
+            shared.destroy()
+            del keys, shared
             found = rows if found is None else found.unionByName(rows)
-        links = found.groupBy("part").applyInArrow(_one_link, "key long, ctx long, low long")
+        links = found
         grams = materialize(grams.join(links, "key"), f"grams{k}")
         below = level.filter(F.col("c") >= least)
         left = grams.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("used")).join(below.select(F.col("key").alias("ctx"), F.col("c").alias("of")), "ctx")
@@ -235,7 +241,7 @@ def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.7
 
 
 def lm_scores(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 2, least: int = 3, discount: float = 0.75, block_keys: int = 4_000_000, single_keys: int = 8_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 2, least: int = 3, discount: float = 0.75, block_keys: int = 2_500_000, single_keys: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 
@@ -261,7 +267,11 @@ def lm_scores(
             got = part.select("key", F.col("c").cast("int"), F.col("delta").cast("float"), F.col("bow").cast("float")).toArrow() if not singles else part.select("key").toArrow()  # about `bound` rows
             value = {"key": _key_array(got)} | ({} if singles else {c: got.column(c).to_numpy() for c in ("c", "delta", "bow")})
             rows = marked.filter(out_of) if singles else marked
-            rows = rows.mapInArrow(_sum(order, discount, spark.sparkContext.broadcast(value), singles, b, blocks), names)
+            shared = spark.sparkContext.broadcast(value)
+            # A pass is written before the next block is fetched, so the driver holds one block at a time.
+            rows = materialize(rows.mapInArrow(_sum(order, discount, shared, singles, b, blocks), names), "pass")
+            shared.destroy()
+            del got, value, shared
             sums = rows if sums is None else sums.unionByName(rows)
     first = F.col("pass") == 0
     n = F.sum(first.cast("int"))
