@@ -23,7 +23,7 @@ def duck():
 
 
 def rows(df, cols):
-    clean = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, float) else bool(v) if type(v).__name__.startswith("bool") else v
+    clean = lambda v: None if pd.isna(v) else bool(v) if type(v).__name__.startswith("bool") else v if isinstance(v, str) else round(float(v), 5) if isinstance(v, (int, float)) else v
     return sorted((tuple(str(clean(v)) for v in r) for r in df[cols].astype(object).itertuples(index=False)))
 
 
