@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def reaches(common, one, other):
         return whole * common >= share * (one + other - common)
 
-    links = None
+    links, candidates = None, sets.count()
     for _ in range(rounds):
         # The member that meets most others is the pivot: in a group of edited copies, the text they were made from.
         weights = posts.groupBy("rep").agg(F.sum("in_key").alias("weight"))
@@ -191,9 +191,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         again = outside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("in_key")).filter("c0 <> c1").select("key", "in_key")
         posts = materialize(outside.join(again, "key").select("key", "rep", "comp", "n_shingles", "in_key"), "posts")
         remaining, pairs = posts.agg(F.count("*"), F.sum(F.col("in_key") - 1) / 2).first()
-        if (pairs or 0) <= 4 * remaining:
+        if (pairs or 0) <= candidates:
             break
-    if remaining:  # members that still share something outside every pivot, pair by pair: few a row by now, unless `rounds` were not enough
+    if remaining:  # members that still share something outside every pivot, pair by pair: fewer than the documents, unless `rounds` were not enough
         one, two = posts.select("key", F.col("rep").alias("p"), F.col("comp").alias("cp")), posts.select("key", F.col("rep").alias("m"), F.col("comp").alias("cm"))
         rest = confirm(one.join(two, "key").filter("p < m and cp <> cm").select("p", "m").distinct())
         links = links.unionByName(rest.filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b")))
