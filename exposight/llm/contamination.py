@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Seeds of an item are its n-grams that are in no more documents than the item's median n-gram, so every
-item keeps at least half of its n-grams, however often its passage was copied.  Documents are
-read twice: to count documents by n-gram, and to seed and align.  Their texts are never shuffled; the benchmark
-comes to them, in blocks of bounded size.
+Every n-gram of an item is a seed: an edited copy may keep only those that are common elsewhere, so none is left out
+for its count.  Around seeds the text is aligned only where the item's words found there allow the
+score.  Documents are read once and their texts never shuffled; the benchmark comes to them, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -44,6 +43,12 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best, int(j), end
 
 
+def most(item: np.ndarray, text: np.ndarray) -> float:
+    """No alignment scores more: each word of the item that the text lacks costs a mismatch or a gap."""
+    total = np.cumsum(np.where(np.isin(item, text), MATCH, max(MISMATCH, GAP)))
+    return float((total - np.minimum.accumulate(np.append(0, total[:-1]))).max(initial=0))
+
+
 class Items:
     """A block of test items: their words, and their n-grams (shorter items: the whole item)."""
 
@@ -69,19 +74,6 @@ class Items:
             out[size] = keys, bits
         return out
 
-    def rare(self, docs_with: dict[tuple[int, int], int]) -> Items:
-        """Only seeds: of each item the n-grams in no more documents than its median one."""
-        by_item = defaultdict(list)
-        for size, g in self.grams.items():
-            for h, at in g.items():
-                for k in {k for k, _ in at}:
-                    by_item[k].append(docs_with.get((size, h), 0))
-        limit = {k: float(np.median(v)) for k, v in by_item.items()}
-        kept = {size: {h: own for h, at in g.items() if (own := [(k, p) for k, p in at if docs_with.get((size, h), 0) <= limit[k]])} for size, g in self.grams.items()}
-        out = object.__new__(Items)
-        out.ids, out.words, out.n, out.grams = self.ids, self.words, self.n, {s: g for s, g in kept.items() if g}
-        return out
-
 
 def _hits(hashes: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Places of hashes that are among keys."""
@@ -90,24 +82,6 @@ def _hits(hashes: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return at[(k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] == hashes[at])]
 
 
-def _count(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = shared.value.lookups()
-        for batch in batches:
-            sizes, grams = [], []
-            for chunk in _words.words(batch.column("text")):
-                for size, (keys, bits) in lookups.items():
-                    hashes, bounds = chunk.ngrams(size)
-                    at = _hits(hashes, keys, bits)
-                    pairs = {(int(r), int(h)) for r, h in zip(np.searchsorted(bounds, at, "right"), hashes[at])}
-                    grams += [h for _, h in pairs]
-                    sizes += [size] * len(pairs)
-            h, c = np.unique(np.array([sizes, grams], np.uint64), axis=1, return_counts=True) if grams else (np.zeros((2, 0), np.uint64), [])
-            yield pa.RecordBatch.from_arrays([pa.array(h[0].astype(np.int32)), pa.array(h[1].view(np.int64)), pa.array(np.asarray(c, np.int64))], names=["size", "gram", "docs"])
-
-    return run
-
-
 def _find(shared, least: float, names: list[str], leaks: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
@@ -125,7 +99,7 @@ def _find(shared, least: float, names: list[str], leaks: str, kind: pa.DataType)
                             seeds[r, k].append(p - place)
                 for (r, k), starts in seeds.items():
                     item, doc = items.words[k], chunk.hashes[chunk.bounds[r] : chunk.bounds[r + 1]]
-                    slack, best = len(item) // 2 + 2, (0.0, 0, 0)
+                    slack, best = len(item), (0.0, 0, 0)  # as many words more or fewer as a score of 0.5 bears
                     spans: list[list[int]] = []
                     for s in sorted(set(starts)):
                         a, b = max(0, s - slack), min(len(doc), s + len(item) + slack)
@@ -136,7 +110,10 @@ def _find(shared, least: float, names: list[str], leaks: str, kind: pa.DataType)
                     for a, b in spans:
                         # Long runs of seeds are aligned in overlapping windows, so memory stays small.
                         for x in range(a, b, 4096):
-                            s, i, j = align(item, doc[x : min(b, x + 4096 + 2 * len(item))])
+                            text = doc[x : min(b, x + 4096 + 2 * len(item))]
+                            if most(item, text) < least * MATCH * len(item):
+                                continue
+                            s, i, j = align(item, text)
                             best = max(best, (s, x + i, x + j), key=lambda v: v[0])
                     score = best[0] / (MATCH * len(item))
                     if score >= least:
@@ -173,9 +150,7 @@ def find_leaks(
     for b in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()  # about block_chars
         items = Items([r["id"] for r in rows], [r["text"] for r in rows], n)
-        counted = df.select(F.col(text_col).alias("text")).mapInArrow(_count(spark.sparkContext.broadcast(items)), "size int, gram long, docs long")
-        docs_with = {(r["size"], r["gram"] & (2**64 - 1)): r["docs"] for r in counted.groupBy("size", "gram").agg(F.sum("docs").alias("docs")).collect()}
-        seeds = spark.sparkContext.broadcast(items.rare(docs_with))
+        seeds = spark.sparkContext.broadcast(items)
         carry = [*names, leaks_col, "__text"]
         both = T.StructType([*kept, *T._parse_datatype_string(f"`{leaks_col}` {LEAK}, __text string, __found {LEAK}").fields])
         out = out.mapInArrow(_find(seeds, least, carry, "__found", kind), both)

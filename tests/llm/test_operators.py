@@ -142,6 +142,24 @@ def test_leaks(spark):
     assert contamination.find_leaks(docs(spark, []).limit(0), bench).count() == 0
 
 
+def test_leaks_of_edited_copies(spark):
+    item = [f"w{k}" for k in range(40)]
+    edited = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    stretched = [x for k, w in enumerate(item) for x in ([w, f"y{k}"] if k % 3 == 2 else [w])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = {10: 25.5 / 40, 11: 25 / 40, 12: (40 - 6.5) / 40}
+    texts = {10: ["before", *edited, "after"], 11: item[:25], 12: stretched}
+    for copies in (0, 3):  # alone, and where other n-grams of the item are rarer or commoner
+        for i, words in texts.items():
+            rows = [(i, " ".join(words)), *[(100 + k, " ".join(item)) for k in range(copies)]]
+            got = {r["doc_id"]: r["score"] for r in contamination.find_leaks(docs(spark, rows), bench).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.score").collect()}
+            assert math.isclose(got[i], want[i]) and len(got) == 1 + copies
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = (rng.integers(0, 8, int(n)).astype(np.uint64) for n in rng.integers(1, 30, 2))
+        assert contamination.most(a, b) >= contamination.align(a, b)[0]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16))
