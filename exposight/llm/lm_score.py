@@ -190,7 +190,7 @@ def _key_array(table: pa.Table) -> np.ndarray:
     return table.column("key").combine_chunks().to_numpy().view(np.uint64)
 
 
-def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.75, most_keys: int = 5_000_000) -> tuple[DataFrame, int, int]:
+def train(docs: DataFrame, order: int = 3, least: int = 3, discount: float = 0.75, most_keys: int = 5_000_000) -> tuple[DataFrame, int, int]:
     """(automaton, N, V) from documents(text).  automaton: key, k (order), c, delta, bow; unigrams all, longer n-grams kept.
 
     An n-gram can only be kept if both n-grams one shorter are, so only those are counted (where their
@@ -241,7 +241,7 @@ def train(docs: DataFrame, order: int = 2, least: int = 3, discount: float = 0.7
 
 
 def lm_scores(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 2, least: int = 3, discount: float = 0.75, block_keys: int = 2_500_000, single_keys: int = 4_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold_mod: int = 7, held: int = 2, order: int = 3, least: int = 3, discount: float = 0.75, block_keys: int = 2_500_000, single_keys: int = 4_000_000
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 

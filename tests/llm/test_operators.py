@@ -304,6 +304,12 @@ def test_lm(spark):
     assert lm_score.lm_scores(df.limit(0)).count() == 0
 
 
+def test_lm_ships_trigrams(spark):
+    rows = [(i, ["aa bb cc", "dd bb ee"][i % 2]) for i in range(40)]
+    got = {k: {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs(spark, rows), **k_args).collect()} for k, k_args in (("shipped", {}), (3, {"order": 3}), (2, {"order": 2}))}
+    assert all(math.isclose(got["shipped"][i], got[3][i], rel_tol=1e-6) and got["shipped"][i] > got[2][i] + 0.1 for i, _ in rows)
+
+
 def test_licenses(spark):
     rows = [*EDGE, (20, "Prose here.\nReleased under the MIT License."), (21, "Licensed under the Apache License, Version 2.0."), (22, "This work is licensed under the GNU General Public License, version 3."), (23, "Licensed under CC BY-NC 4.0."), (24, "She renewed her driver license."), (25, "The fishing license of the general public.")]
     got = licenses.scan_licenses(docs(spark, rows)).collect()
