@@ -126,6 +126,18 @@ def _compare(share: int, whole: int):
     return run
 
 
+def reaches(common, one, other, share: int, whole: int):
+    """Whether sets of these sizes with so much in common are linked."""
+    return whole * common >= share * (one + other - common)
+
+
+def may_link(common, least, size, share: int, whole: int):
+    """Whether a set with `common` of a pivot can be linked by that alone to any set of `least` elements or more.
+
+    The best partner has all of `common` and nothing else, or is the smallest there is."""
+    return reaches(common, F.greatest(common, least), size, share, whole)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, rounds: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df.
 
@@ -155,9 +167,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         full = pairs.join(sets.select(F.col("id").alias("m"), F.col("set").alias("set_m")), "m").join(sets.select(F.col("id").alias("p"), F.col("set").alias("set_p")), "p")
         return materialize(full.mapInArrow(_compare(share, whole), "p long, m long, common long, linked boolean, extras array<long>"), "compared")
 
-    def reaches(common, one, other):
-        return whole * common >= share * (one + other - common)
-
     links, candidates = None, sets.count()
     for _ in range(rounds):
         # The member that meets most others is the pivot: in a group of edited copies, the text they were made from.
@@ -172,9 +181,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # Two members without a link that share no shingle outside their pivot have in common at most what each has of it.
         open_ = state.groupBy("key").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1").select("key")
         live = materialize(state.join(open_, "key").filter("p <> m").join(compared.select("p", "m", "common", "linked"), ["p", "m"]), "live")
-        some = live.filter("not linked").filter(reaches(F.least("common", "least"), F.col("least"), F.col("n_shingles")))
+        some = live.filter("not linked").filter(may_link(F.col("common"), F.col("least"), F.col("n_shingles"), share, whole))
         some = some.select("key", F.col("m").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("xb"))
-        close = live.select("key", "m", "comp", "n_shingles", "common").join(some, "key").filter(F.col("comp") != F.col("cb")).filter(reaches(F.least("common", "xb"), F.col("n_shingles"), F.col("nb")))
+        close = live.select("key", "m", "comp", "n_shingles", "common").join(some, "key").filter(F.col("comp") != F.col("cb")).filter(reaches(F.least("common", "xb"), F.col("n_shingles"), F.col("nb"), share, whole))
         close = close.select(F.least("m", "b").alias("p"), F.greatest("m", "b").alias("m")).distinct()
         found = confirm(close).filter("linked").select(F.col("p").alias("a"), F.col("m").alias("b"))
         links = links.unionByName(found)

@@ -122,6 +122,13 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_bound(spark):
+    cases = [(c, low, n) for n in range(1, 22) for c in range(1, n + 1) for low in range(1, 26)]
+    want = {(c, low, n) for c, low, n in cases if any(100 * min(a, c) >= 85 * (a + n - min(a, c)) for a in range(low, 60))}
+    df = spark.createDataFrame(cases, "c long, low long, n long")
+    assert {tuple(r) for r in df.filter(near_dup.may_link(F.col("c"), F.col("low"), F.col("n"), 85, 100)).collect()} == want
+
+
 def test_alignment():
     item = np.arange(20, dtype=np.uint64)
     edited = np.concatenate([[99, 98], item[:7], [77], item[8:13], item[14:], [55]]).astype(np.uint64)
