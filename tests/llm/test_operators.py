@@ -99,7 +99,8 @@ def jaccard_components(rows, n=5, share=85):
     return comp, {i: len(s) for i, s in sets.items()}
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("direct", [32, 2])
+def test_near_duplicates(spark, direct):
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(400)]
     rows, i = [], 0
@@ -113,7 +114,7 @@ def test_near_duplicates(spark):
             i += 1
     rows += [(1000, None), (1001, ""), (1002, "a B c"), (1003, "A b\tc"), (1004, LONG), (1005, LONG)]
     comp, size = jaccard_components(rows)
-    got = {r["doc_id"]: r for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in near_dup.near_duplicates(docs(spark, rows), direct=direct).collect()}
     assert {k: r["component_id"] for k, r in got.items()} == comp
     assert {k: r["n_shingles"] for k, r in got.items()} == size
     assert all(r["kept"] == (k == comp[k]) for k, r in got.items())
@@ -122,6 +123,33 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share, bands", [(85, 20), (80, 30)])
+def test_near_duplicates_of_a_group_without_its_origin(spark, share, bands):
+    """Copies that each change other words, excerpts and second editions: chains of links within large buckets."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for i in range(90):
+        t = list(base)
+        for k in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+            t[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(t if i % 7 else t[: int(rng.integers(60, 200))])))
+        if i % 5 == 0:
+            t[int(rng.integers(200))] = "second"
+            rows.append((1000 + i, " ".join(t)))
+    comp, _ = jaccard_components(rows, share=share)
+    assert 3 < len(set(comp.values())) < len(comp)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, rows), share=share, bands=bands, direct=2).collect()}
+    assert got == comp
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """An id with two texts joins what either is linked with; neither text is lost."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a), (3, b), (9, c), (9, c), (8, c + " more")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8)]
+
+
 def test_near_duplicates_bound(spark):
     cases = [(c, low, n) for n in range(1, 22) for c in range(1, n + 1) for low in range(1, 26)]
     want = {(c, low, n) for c, low, n in cases if any(100 * min(a, c) >= 85 * (a + n - min(a, c)) for a in range(low, 60))}
