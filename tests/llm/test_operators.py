@@ -81,6 +81,47 @@ def test_html_template_without_article(spark):
     assert {r["text"] for r in got} == {f"Story number {i} tells a long tale of {i * 7} things" for i in range(6)}
 
 
+def template_rows(pages):
+    """What one host's pages give to deduce()."""
+    import pandas as pd
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(len(pages)), pa.int64()), "url": ["http://h/"] * len(pages), "html": pages})
+    rows = pd.concat([b.to_pandas() for b in html_text._tokens(iter([batch]))])
+    sums = {c: "sum" for c in ("chars", "first", "last", "h1", "h2")} | {"key": "size"}
+    rows["key"] = 1
+    out = rows.groupby(["host", "token", "parent", "role", "is_text", "size"], as_index=False).agg(sums).rename(columns={"key": "pages"})
+    return out[(out.pages >= 3) & (2 * out.pages >= len(pages))]
+
+
+def test_html_classes_decide():
+    """The same tokens with other occurrence vectors give another template, and another text."""
+    chrome = "<div id=top>Site name of ours</div><div class=box><p>{}</p><p>Read more of our fine pages</p></div><div id=low>Kept by the editors</div>{}"
+    pages = ["<html><body>" + chrome.format(f"Story number {i} tells a tale of {i * 7} things", "<div id=some>Seen on most days</div>" if i % 3 else "") + "</body></html>" for i in range(9)]
+    rows = template_rows(pages)
+
+    def texts(rows):
+        r = html_text.deduce(rows).iloc[0]
+        return [html_text.main_text(html_text.parse(p), r["main"], frozenset(r["fixed"]), frozenset(r["always"])) for p in pages]
+
+    want = [f"Story number {i} tells a tale of {i * 7} things" for i in range(9)]
+    assert texts(rows) == want and texts(rows.sample(frac=1, random_state=1)) == want
+    scrambled = rows.assign(h1=range(len(rows)))
+    assert html_text.deduce(scrambled)["main"].iloc[0] == 0 and texts(scrambled) != want
+    some = rows[rows.pages == 6]
+    assert len(some) == 2 and some.token[some.is_text].iloc[0] in set(html_text.deduce(rows)["fixed"].iloc[0])
+
+
+def test_html_hostile_pages():
+    import time
+
+    for source in ("<div>x" * 50_000, "<h1>" * 50_000, '<a href="x>y</a> \' ' * 300_000, "<a b='>" * 700_000 + '"', "<p>" * 100_000 + "</div>" * 100_000, "</x" * 1_000_000, "<" * 5_000_000):
+        start = time.time()
+        html_text.main_text(html_text.parse(source), 1, frozenset(), frozenset())
+        assert time.time() - start < 30
+    assert [b.text for b in html_text.parse('a < b <div hidden="hidden">no</div><p data-id=ad title="a > b">yes &lt;</p>').blocks] == ["a < b", "yes <"]
+
+
 def jaccard_components(rows, n=5, share=85):
     sets = {}
     for i, t in rows:
