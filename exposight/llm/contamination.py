@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
+from ._spark import tidy
 
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAK = "array<struct<item_id:bigint,score:double,seeds:bigint,start_word:bigint,end_word:bigint>>"
@@ -153,7 +154,7 @@ def find_leaks(
         seeds = spark.sparkContext.broadcast(items)
         carry = [*names, leaks_col, "__text"]
         both = T.StructType([*kept, *T._parse_datatype_string(f"`{leaks_col}` {LEAK}, __text string, __found {LEAK}").fields])
-        out = out.mapInArrow(_find(seeds, least, carry, "__found", kind), both)
+        out = out.mapInArrow(tidy(_find(seeds, least, carry, "__found", kind)), both)
         merged = F.array_sort(F.concat(F.coalesce(leaks_col, F.array().cast(LEAK)), "__found"))
         out = out.select(*names, merged.alias(leaks_col), "__text")
     return out.drop("__text")

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import tidy
+
 #: Bits for each line, positions for each key, bits in a shard.
 BITS_PER_LINE, POSITIONS, SHARD_BITS = 12, 4, 1 << 20
 _EDGE = b" \t\n\r\x0b\x0c"
@@ -151,13 +153,13 @@ def line_dedup(
     n_bits = (n * BITS_PER_LINE // SHARD_BITS + 1) * SHARD_BITS
     shared = None
     if n_bits // 8 <= filter_bytes:
-        parts = slim.mapInArrow(_build("text", "id", min_chars, n_bits), "shard int, once binary, twice binary")
-        rows = parts.repartition("shard").mapInArrow(_fold, "shard int, twice binary").collect()  # filter_bytes at most
+        parts = slim.mapInArrow(tidy(_build("text", "id", min_chars, n_bits)), "shard int, once binary, twice binary")
+        rows = parts.repartition("shard").mapInArrow(tidy(_fold), "shard int, twice binary").collect()  # filter_bytes at most
         data = bytearray(n_bits // 8)
         for r in rows:
             data[r["shard"] * SHARD_BITS // 8 : (r["shard"] + 1) * SHARD_BITS // 8] = zlib.decompress(r["twice"])
         shared = spark.sparkContext.broadcast(bytes(data))
-    suspects = slim.mapInArrow(_suspects("text", "id", min_chars, n_bits, shared), "k1 long, k2 long, holder long")
+    suspects = slim.mapInArrow(tidy(_suspects("text", "id", min_chars, n_bits, shared)), "k1 long, k2 long, holder long")
     repeated = suspects.groupBy("k1", "k2").agg(F.min("holder").alias("first"), F.max("holder").alias("last")).filter("first < last").select("k1", "k2", "first")
     fields = [f for f in df.schema if f.name not in (lines_col, dropped_col)] + [T.StructField(lines_col, T.LongType()), T.StructField(dropped_col, T.LongType())]
     schema = T.StructType(fields)
@@ -168,7 +170,7 @@ def line_dedup(
     if head.num_rows <= table_rows:
         pairs = np.stack([head.column(k).to_numpy().view("<u8") for k in ("k1", "k2")], 1)
         table = spark.sparkContext.broadcast(([p.tobytes() for p in pairs], head.column("first").to_pylist()))
-        return df.mapInArrow(_rewrite(id_col, text_col, min_chars, names, arrow, (lines_col, dropped_col), shared=table), schema)
+        return df.mapInArrow(tidy(_rewrite(id_col, text_col, min_chars, names, arrow, (lines_col, dropped_col), shared=table)), schema)
     drops = suspects.join(repeated, ["k1", "k2"]).filter("holder <> first").groupBy("holder").agg(F.collect_set(F.struct("k1", "k2")).alias("__drops"))
     joined = df.join(drops, F.col(id_col).cast("long") == F.col("holder"), "left").drop("holder")
-    return joined.mapInArrow(_rewrite(id_col, text_col, min_chars, names, arrow, (lines_col, dropped_col), drops="__drops"), schema)
+    return joined.mapInArrow(tidy(_rewrite(id_col, text_col, min_chars, names, arrow, (lines_col, dropped_col), drops="__drops")), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._spark import crc_text, materialize
+from ._spark import crc_text, materialize, tidy
 
 _U = np.uint64
 END = _words.mix(np.array([0xE0D], np.uint64))[0]
@@ -202,7 +202,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 3, discount: float = 0.7
     blob = "part int, a binary, b binary"
 
     def counted(k: int, shared, floor: int) -> DataFrame:
-        return materialize(docs.mapInArrow(_count(k, shared, parts), blob).groupBy("part").applyInArrow(_merge(floor), "key long, c long"), f"counts{k}")
+        return materialize(docs.mapInArrow(tidy(_count(k, shared, parts)), blob).groupBy("part").applyInArrow(_merge(floor), "key long, c long"), f"counts{k}")
 
     counts = counted(1, None, 1)
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
@@ -218,7 +218,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 3, discount: float = 0.7
         for b in range(blocks := max(1, -(-n // most_keys))):
             keys = _key_array(grams.filter(_unsigned_mod("key", blocks) == b).select("key").toArrow())  # about most_keys
             shared = spark.sparkContext.broadcast(keys)
-            rows = docs.mapInArrow(_links(k, shared, parts), f"{blob}, c binary").groupBy("part").applyInArrow(_one_link, "key long, ctx long, low long")
+            rows = docs.mapInArrow(tidy(_links(k, shared, parts)), f"{blob}, c binary").groupBy("part").applyInArrow(_one_link, "key long, ctx long, low long")
             rows = materialize(rows, f"links{k}")
             shared.destroy()
             del keys, shared
@@ -269,7 +269,7 @@ def lm_scores(
             rows = marked.filter(out_of) if singles else marked
             shared = spark.sparkContext.broadcast(value)
             # A pass is written before the next block is fetched, so the driver holds one block at a time.
-            rows = materialize(rows.mapInArrow(_sum(order, discount, shared, singles, b, blocks), names), "pass")
+            rows = materialize(rows.mapInArrow(tidy(_sum(order, discount, shared, singles, b, blocks)), names), "pass")
             shared.destroy()
             del got, value, shared
             sums = rows if sums is None else sums.unionByName(rows)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words
-from ._spark import materialize
+from ._spark import materialize, tidy
 from .components import connected_components
 
 _U = np.uint64
@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     numbers of their classes (twice as many) are broadcast to narrow a table before it is shuffled; the result is the same.
     """
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = materialize(slim.mapInArrow(_sketch(n, bands, rows), "id long, n_shingles long, d1 long, d2 long, keys array<long>, sig array<short>"), "sketch")
+    docs = materialize(slim.mapInArrow(tidy(_sketch(n, bands, rows)), "id long, n_shingles long, d1 long, d2 long, keys array<long>, sig array<short>"), "sketch")
     digest = ["d1", "d2", "n_shingles"]
     full = docs.filter("n_shingles > 0 and id is not null")
     classes = full.groupBy(*digest).agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
@@ -198,7 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posts = materialize(posts.join(shared, "key"), "posts")
     wanted = materialize(classes.drop("keys").join(posts.select("node").distinct(), "node", "left_semi"), "wanted")
     slots = slim.sparkSession.sparkContext.broadcast(_slots(wanted.select(F.col("rep").alias("id"))))
-    sets = slim.filter("id is not null").mapInArrow(_sets(n, slots), "d1 long, d2 long, n_shingles long, set array<long>")
+    sets = slim.filter("id is not null").mapInArrow(tidy(_sets(n, slots)), "d1 long, d2 long, n_shingles long, set array<long>")
     sets = materialize(sets.join(wanted.select("node", *digest), digest).groupBy(*digest, "node").agg(F.first("set").alias("set")).select("node", "set"), "sets")
     alike = fewest_alike(bands * rows, share, whole)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import materialize, tidy
 
 BUCKETS = 64
 
@@ -139,7 +139,7 @@ def pack(
         import public_tokenizers as P
 
         tokenizer, ranks, pattern = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    pieces = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(token_pieces(tokenizer, ranks, pattern, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(token_pieces(tokenizer, ranks, pattern, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack_lengths(materialize(pieces, "pieces"), capacity)
 
 
