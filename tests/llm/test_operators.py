@@ -391,3 +391,36 @@ def test_licenses(spark):
     got = licenses.scan_licenses(docs(spark, rows)).collect()
     assert {(r["doc_id"], r["family"]) for r in got if r["confirmed"]} == {(20, "MIT"), (21, "Apache-2.0"), (22, "GPL-3.0"), (23, "CC-BY-NC")}
     assert licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
+
+
+def test_licenses_wrapped_and_without_a_stem(spark):
+    mit, bsd = licenses.NOTICES["MIT"][0], licenses.NOTICES["BSD"][1]
+    wrap = lambda t, n=7: "\n".join(" * " + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(1, "A file.\n" + wrap(mit)), (2, wrap(bsd, 9)), (3, "Released under BSD 3-Clause."), (4, "of the and this " * 20_000), (5, wrap("The ship came in late and all the men went home to eat and to sleep", 4))]
+    got = {(r["doc_id"], r["family"]) for r in licenses.scan_licenses(docs(spark, rows)).collect() if r["confirmed"] or r["doc_id"] > 2}
+    assert got == {(1, "MIT"), (2, "BSD"), (3, "BSD")}
+
+
+def test_license_scores_by_brute_force(spark):
+    model = licenses.train(spark)
+    texts = [t for _, t, _ in licenses.training_rows()][::7] + ["The Apache people; version 2.0!", "x-ray + C++. mit"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, list(enumerate(texts))), least=0.0, model=model).collect() if r["unit"] == "line"}
+    for i, t in enumerate(texts):
+        w = [x for x in (y.strip(".+-") for y in re.split(r"[^a-z0-9.+-]+", t.lower())) if x]
+        g = {*w, *(" ".join(p) for p in zip(w, w[1:]))}
+        z = np.array(model["bias"]) + sum((np.array(model["weights"][x]) for x in g if x in model["weights"]), np.zeros(len(model["bias"])))
+        if z.argmax() == len(z) - 1:
+            assert i not in got
+            continue
+        assert got[i]["family"] == model["families"][z.argmax()]
+        assert math.isclose(got[i]["probability"], 1 / np.exp(z - z.max()).sum(), abs_tol=1e-5)
+        assert math.isclose(got[i]["similarity"], max(len(g & set(m)) / len(m) for m in model["templates"][got[i]["family"]]), abs_tol=1e-5)
+
+
+def test_license_families_held_out(spark):
+    """Names in phrases that were not learned from, and ordinary sentences that were not."""
+    rows = [(i, t) for i, (f, t, held) in enumerate(licenses.training_rows()) if held]
+    want = {i: f for i, (f, t, held) in enumerate(licenses.training_rows()) if held}
+    got = {r["doc_id"]: r["family"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    right = sum(got.get(i, "none") == f for i, f in want.items())
+    assert right >= 0.9 * len(want) and sum(want[i] == "none" for i in got) <= 2
