@@ -74,9 +74,14 @@ def closest_preceding(shares: DataFrame, exposures: DataFrame, keys: list[str],
 
 
 def pair_counts(df: DataFrame, left: str, right: str) -> DataFrame:
-    """(i, j, x): how many `left` two `right` values share; both orders and the diagonal.  Pairs are made within one `left`."""
+    """(i, j, x): how many `left` two `right` values share; both orders and the diagonal.
+
+    Pairs are made within one `left`, in one order only; the other order is added to the counts.
+    """
     d = df.select(left, right).distinct()
-    return d.select(left, F.col(right).alias("i")).join(d.select(left, F.col(right).alias("j")), left).groupBy("i", "j").agg(F.count("*").alias("x"))
+    half = d.select(left, F.col(right).alias("i")).join(d.select(left, F.col(right).alias("j")), left).filter("i <= j").groupBy("i", "j").agg(F.count("*").alias("x"))
+    there, back = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    return half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))).alias("p"), "x").select("p.i", "p.j", "x")
 
 
 def fulltext_index(df: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,10 +33,14 @@ def query(sql: str | None = None, shared: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  registers the rest
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -45,7 +50,7 @@ def r6(c, name: str):
 
 def _fake_counts(s: SparkSession, d: str) -> DataFrame:
     fake = roles.domains(s, d).filter("domain_color_num <= 3").select("website")
-    return roles.urls(s, d).join(F.broadcast(fake), "website").groupBy("user_id").agg(F.count("*").alias("n"))
+    return roles.urls(s, d).join(fake, "website").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 _FAKE = ", f AS (SELECT user_id, count(*) AS n FROM urls JOIN domains USING (website) WHERE domain_color_num <= 3 GROUP BY 1)"
@@ -68,7 +73,7 @@ _EXP_FAKE = ", x AS (SELECT panel_uid AS user_id, count(*) AS n FROM urls_exp JO
 
 @query(_EXP_FAKE + ", k AS (SELECT user_id, n, sum(n) OVER (ORDER BY n DESC, user_id ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS c FROM x) SELECT user_id, n, round(c, 6) AS cumperc FROM k WHERE c <= 0.8")
 def top80_fake_consumers(s, d):
-    fake = F.broadcast(roles.domains(s, d).filter("domain_color_num <= 3").select("website"))
+    fake = roles.domains(s, d).filter("domain_color_num <= 3").select("website")
     per = roles.exposures_by_site(s, d).join(fake, "website").groupBy(F.col("panel_uid").alias("user_id")).agg(F.sum("n").alias("n"))
     return ranking.responsible(per, "n", "user_id").select("user_id", "n", r6("cumperc", "cumperc"))
 
@@ -77,7 +82,7 @@ def top80_fake_consumers(s, d):
        "SELECT domain_color, user_id, round(row_number() OVER w / count(*) OVER (PARTITION BY domain_color), 6) AS percentage_of_total, round(sum(n) OVER (w ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY domain_color), 6) AS cumulative_percentage "
        "FROM c WINDOW w AS (PARTITION BY domain_color ORDER BY n DESC, user_id)")
 def lorenz_points(s, d):
-    c = roles.urls(s, d).join(F.broadcast(roles.domains(s, d)), "website").filter("domain_color is not null").groupBy("user_id", "domain_color").agg(F.count("*").alias("n"))
+    c = roles.urls(s, d).join(roles.domains(s, d), "website").filter("domain_color is not null").groupBy("user_id", "domain_color").agg(F.count("*").alias("n"))
     k = ranking.rank_by(c, "n", "user_id", ["domain_color"])
     return k.select("domain_color", "user_id", r6(F.col("rank") / F.count("*").over(W.partitionBy("domain_color")), "percentage_of_total"), r6("cumperc", "cumulative_percentage"))
 
@@ -91,7 +96,7 @@ def topk_sharers(s, d):
        "k AS (SELECT *, least(row_number() OVER (ORDER BY fake DESC, user_id), 16) AS ind FROM c), g AS (SELECT ind, sum(fake) AS fake, CASE WHEN ind = 16 THEN 0 ELSE sum(other) END AS other FROM k GROUP BY ind) "
        "SELECT CAST(ind AS BIGINT) AS ind, kind, CAST(n AS BIGINT) AS n FROM (SELECT ind, 'fake' AS kind, fake AS n FROM g UNION ALL SELECT ind, 'other', other FROM g)")
 def top_n_everyone_else_pivot(s, d):
-    c = roles.urls(s, d).join(F.broadcast(roles.domains(s, d)), "website").groupBy("user_id").agg(F.count_if(F.col("domain_color_num") <= 3).alias("fake"), F.count_if(F.col("domain_color_num") > 3).alias("other"))
+    c = roles.urls(s, d).join(roles.domains(s, d), "website").groupBy("user_id").agg(F.count_if(F.col("domain_color_num") <= 3).alias("fake"), F.count_if(F.col("domain_color_num") > 3).alias("other"))
     g = ranking.top_and_rest(c, "fake", "user_id", 15, ["fake", "other"]).withColumn("other", F.when(F.col("ind") == 16, 0).otherwise(F.col("other")).cast("long"))
     return g.unpivot("ind", ["fake", "other"], "kind", "n")
 
@@ -135,7 +140,7 @@ def exposure_counts(s, d):
 @query(", e AS (SELECT panel_uid, count(*) AS n_exp, count(*) FILTER (WHERE domain_color_num <= 3) AS n_fn_exp FROM urls_exp JOIN domains USING (website) GROUP BY 1) "
        "SELECT user_id, party, coalesce(n_exp, 0) AS n_exp, coalesce(n_fn_exp, 0) AS n_fn_exp FROM panel LEFT JOIN e ON user_id = panel_uid WHERE is_member")
 def exposure_wide_left(s, d):
-    n = roles.exposures_by_site(s, d).join(F.broadcast(roles.domains(s, d)), "website").groupBy("panel_uid").agg(F.sum("n").alias("n_exp"), F.sum(F.when(F.col("domain_color_num") <= 3, F.col("n")).otherwise(0)).alias("n_fn_exp"))
+    n = roles.exposures_by_site(s, d).join(roles.domains(s, d), "website").groupBy("panel_uid").agg(F.sum("n").alias("n_exp"), F.sum(F.when(F.col("domain_color_num") <= 3, F.col("n")).otherwise(0)).alias("n_fn_exp"))
     p = roles.panel(s, d).filter("is_member")
     return p.join(n, p["user_id"] == n["panel_uid"], "left").select("user_id", "party", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exp", "n_fn_exp")])
 
@@ -191,7 +196,7 @@ def occurs_once_semi(s, d):
 @query(" SELECT website, count(*) AS n FROM urls WHERE website NOT IN (SELECT website FROM domains WHERE domain_color_num <= 3) GROUP BY 1")
 def blacklist_anti(s, d):
     black = roles.domains(s, d).filter("domain_color_num <= 3").select("website")
-    return roles.urls(s, d).join(F.broadcast(black), "website", "left_anti").groupBy("website").agg(F.count("*").alias("n"))
+    return roles.urls(s, d).join(black, "website", "left_anti").groupBy("website").agg(F.count("*").alias("n"))
 
 
 @query(_RANKED + ", t AS (SELECT min(n) AS least FROM k WHERE cumperc <= 0.3) SELECT user_id, n FROM f, t WHERE n >= least")
@@ -212,7 +217,7 @@ def relative_day_week(s, d):
 @query(", c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS \"N\", count(*) FILTER (WHERE domain_color = 'Black') AS black, count(*) FILTER (WHERE domain_color = 'Red') AS red, count(*) FILTER (WHERE domain_color = 'Orange') AS orange FROM urls JOIN domains USING (website) GROUP BY 1) "
        "SELECT CAST(day AS VARCHAR) AS day, \"N\", black, red, orange, round(black / \"N\", 6) AS pct_black, round(red / \"N\", 6) AS pct_red, round(orange / \"N\", 6) AS pct_orange, round(black / \"N\" + red / \"N\" + orange / \"N\", 6) AS pct_fake FROM c")
 def daily_color_pcts(s, d):
-    u = roles.urls(s, d).join(F.broadcast(roles.domains(s, d)), "website").withColumn("day", F.to_date("ts").cast("string"))
+    u = roles.urls(s, d).join(roles.domains(s, d), "website").withColumn("day", F.to_date("ts").cast("string"))
     c = series.daily_percents(u, "day", "domain_color", ["Black", "Red", "Orange"])
     return c.select("day", "N", "black", "red", "orange", *[r6(x, x) for x in ("pct_black", "pct_red", "pct_orange", "pct_fake")])
 
@@ -246,7 +251,7 @@ def site_alignment_balanced(s, d):
 @query(_ALIGN + ", c AS (SELECT user_id, website, count(*) AS n FROM urls GROUP BY ALL) SELECT user_id, round(sum(align * n) / sum(n), 6) AS align FROM c JOIN a USING (website) GROUP BY 1".replace(" , c", ", c"))
 def user_alignment_weighted(s, d):
     c = roles.urls(s, d).groupBy("user_id", "website").agg(F.count("*").alias("n"))
-    return c.join(F.broadcast(_site_alignment(s, d)), "website").groupBy("user_id").agg(r6(stats.weighted_mean(F.col("align"), F.col("n")), "align"))
+    return c.join(_site_alignment(s, d), "website").groupBy("user_id").agg(r6(stats.weighted_mean(F.col("align"), F.col("n")), "align"))
 
 
 _SQL["user_alignment_weighted"] = _SQL["user_alignment_weighted"].replace(") , c AS", "), c AS")
@@ -255,7 +260,7 @@ _SQL["user_alignment_weighted"] = _SQL["user_alignment_weighted"].replace(") , c
 @query(_ALIGN + ", b AS (SELECT website, domain_color_num, CASE WHEN align > -0.2 THEN 'conservative' ELSE 'liberal' END AS lean FROM a JOIN domains USING (website)) SELECT lean, count(*) AS sites, count(*) FILTER (WHERE domain_color_num <= 3) AS fake FROM b GROUP BY 1")
 def fake_site_alignment_bins(s, d):
     lean = F.when(F.col("align") > -0.2, "conservative").otherwise("liberal")
-    return _site_alignment(s, d).join(F.broadcast(roles.domains(s, d)), "website").groupBy(lean.alias("lean")).agg(F.count("*").alias("sites"), F.count_if(F.col("domain_color_num") <= 3).alias("fake"))
+    return _site_alignment(s, d).join(roles.domains(s, d), "website").groupBy(lean.alias("lean")).agg(F.count("*").alias("sites"), F.count_if(F.col("domain_color_num") <= 3).alias("fake"))
 
 
 @query(_ALIGN + ", l AS (SELECT website, CASE WHEN abs(align) > 0.142857 THEN CASE WHEN align > 0 THEN 'right' ELSE 'left' END END AS lean FROM a), p AS (SELECT user_id, CASE WHEN pol_affl > 0.3 THEN 'right' WHEN pol_affl < -0.3 THEN 'left' END AS lean FROM panel) "
@@ -263,7 +268,7 @@ def fake_site_alignment_bins(s, d):
 def congruence_counts(s, d):
     site = _site_alignment(s, d).select("website", F.when(F.abs("align") > 0.142857, F.when(F.col("align") > 0, "right").otherwise("left")).alias("a"))
     user = roles.panel(s, d).select("user_id", F.when(F.col("pol_affl") > 0.3, "right").when(F.col("pol_affl") < -0.3, "left").alias("b"))
-    both = roles.urls(s, d).join(F.broadcast(site), "website").join(user, "user_id")
+    both = roles.urls(s, d).join(site, "website").join(user, "user_id")
     return both.groupBy(F.when(F.col("a") == F.col("b"), "congruent").when(F.col("a") != F.col("b"), "incongruent").alias("congruence")).agg(F.count("*").alias("n"))
 
 
@@ -275,7 +280,7 @@ for _k in ("site_alignment_balanced", "user_alignment_weighted", "fake_site_alig
 @query(", c AS (SELECT website, sum(n) AS n FROM (SELECT website, count(*) AS n FROM urls_exp GROUP BY 1) GROUP BY 1), g AS (SELECT domain_color_num <= 3 AS fake, website, n, row_number() OVER (PARTITION BY domain_color_num <= 3 ORDER BY n, website) AS i FROM c JOIN domains USING (website)) "
        "SELECT fake, round((2 * sum(i * n) / sum(n) - (count(*) + 1)) / count(*), 6) AS gini, count(*) AS n FROM g GROUP BY 1")
 def gini_fake_vs_rest(s, d):
-    c = roles.exposures_by_site(s, d).groupBy("website").agg(F.sum("n").alias("v")).join(F.broadcast(roles.domains(s, d)), "website").withColumn("fake", F.col("domain_color_num") <= 3)
+    c = roles.exposures_by_site(s, d).groupBy("website").agg(F.sum("n").alias("v")).join(roles.domains(s, d), "website").withColumn("fake", F.col("domain_color_num") <= 3)
     return stats.gini(c, "v", ["fake"], "website").select("fake", r6("gini", "gini"), "n")
 
 
@@ -368,19 +373,19 @@ def coexposure_pairs(s, d):
 
 @query(_BB + " SELECT i, j, x, CAST(w_i AS BIGINT) AS w_i, CAST(w_j AS BIGINT) AS w_j, round(q, 6) AS q, round(p, 9) AS p FROM bb")
 def backbone_expected(s, d):
-    return graph.backbone(_pairs(s, d)).select("i", "j", "x", "w_i", "w_j", r6("q", "q"), F.round("p", 9).alias("p"))
+    return graph.backbone(graph.keep(_pairs(s, d))).select("i", "j", "x", "w_i", "w_j", r6("q", "q"), F.round("p", 9).alias("p"))
 
 
 @query()
 def backbone_pvalue(s, d):
-    return graph.significance(graph.backbone(_pairs(s, d))).select("i", "j", "x", "significance")
+    return graph.significance(graph.backbone(graph.keep(_pairs(s, d)))).select("i", "j", "x", "significance")
 
 
 _THR = _BB + ", th AS (SELECT i, j, x FROM bb WHERE x > (SELECT quantile_cont(x, 0.96) FROM bb) AND i <> j)"
 
 
 def _strong(s, d):
-    return graph.threshold(graph.backbone(_pairs(s, d)).select("i", "j", "x"), "x")
+    return graph.threshold(graph.backbone(graph.keep(_pairs(s, d))).select("i", "j", "x"), "x")
 
 
 @query(_THR + " SELECT i, j, x FROM th")
@@ -406,7 +411,7 @@ def modularity_clusters(s, d):
 @query(", c AS (SELECT panel_uid, website % 4 AS cluster, count(*) AS k FROM urls_exp GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY panel_uid) AS total FROM c) SELECT panel_uid, cluster, round(k / total, 6) AS share FROM t WHERE total > 100")
 def cluster_share_per_person(s, d):
     clusters = roles.domains(s, d).select(F.col("website").alias("node"), (F.col("website") % 4).alias("cluster"))
-    return graph.cluster_share(roles.exposures_by_site(s, d), F.broadcast(clusters)).select("panel_uid", "cluster", r6("share", "share"))
+    return graph.cluster_share(roles.exposures_by_site(s, d), clusters).select("panel_uid", "cluster", r6("share", "share"))
 
 
 # Closed-form statistics
@@ -539,9 +544,9 @@ def vocab_prune(s, d):
        "c AS (SELECT word, count(*) FILTER (WHERE toxic = 1) AS c1, count(*) FILTER (WHERE toxic = 0) AS c0 FROM p JOIN labels USING (doc_id) GROUP BY 1), w AS (SELECT word, ln((c1 + 1) / (n1 + 2)) - ln((c0 + 1) / (n0 + 2)) AS pr, ln(1 - (c1 + 1) / (n1 + 2)) - ln(1 - (c0 + 1) / (n0 + 2)) AS ab, ln(n1) - ln(n0) AS prior FROM c, n), "
        "b AS (SELECT sum(ab) + any_value(prior) AS base FROM w), o AS (SELECT doc_id, sum(pr - ab) AS s FROM p JOIN w USING (word) GROUP BY 1) SELECT doc_id, round(coalesce(s, 0) + base, 4) AS llr FROM (SELECT DISTINCT doc_id FROM p) LEFT JOIN o USING (doc_id), b", shared=False)
 def nb_llr_scores(s, d):
-    t = _tokens(s, d)
-    often = t.distinct().groupBy("word").agg(F.count("*").alias("k")).filter("k >= 20").select("word")
-    return models.naive_bayes_scores(t.join(often, "word"), T(s, d, "labels"), "doc_id", "word", "toxic").select("doc_id", F.round("llr", 4).alias("llr"))
+    t = graph.keep(_tokens(s, d).distinct())  # read by several branches, so the texts are split once
+    often = t.groupBy("word").agg(F.count("*").alias("k")).filter("k >= 20").select("word")
+    return models.naive_bayes_scores(graph.keep(t.join(often, "word")), T(s, d, "labels"), "doc_id", "word", "toxic").select("doc_id", F.round("llr", 4).alias("llr"))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS thread, arg_min(text, turn) AS opening, count(*) AS turns FROM conversations GROUP BY 1", shared=False)
@@ -556,7 +561,7 @@ def url_host(s, d):
     return T(s, d, "pages").select("page_id", text.host_with_port(F.col("url")).alias("host"))
 
 
-@query()
+@query(r"SELECT page_id, regexp_extract(regexp_extract(url, 'https?://([^/:]+)', 1), '[^.]+\.[^.]+$') AS site FROM pages", shared=False)
 def url_clean(s, d):
     return T(s, d, "pages").select("page_id", pages.canonical_site(F.col("url")).alias("site"))
 
@@ -591,7 +596,7 @@ def fulltext_match_counts(s, d):
 
 
 # Built on embedded rows
-@query()
+@query("SELECT * FROM (VALUES (0, 'Atlanta', 'GA'), (1, 'California', 'CA'), (2, 'Big Bear City, Ca.', 'CA'), (3, 'De Pere, WI', 'WI'), (4, 'pennsville, nj', 'NJ'), (5, 'Dayton, Nevada', 'NV'), (6, 'Birmingham, England', 'foreign'), (7, 'lebanon', 'foreign'), (8, 'UK', 'foreign'), (9, 'westfield', 'unparsed'), (10, 'Weston WV', 'WV'), (11, 'NYC', 'NY'), (12, 'USA', 'USA'), (13, 'Bay Area', 'CA'), (14, 'Washington', 'WA'), (15, 'Jakarta, ID', 'foreign'), (16, '東京', 'foreign'), (17, '', NULL), (18, 'LA', 'USA'), (19, 'somewhere in', 'unparsed')) t(id, raw, place)", shared=False)
 def location_classify(s, d):
     return fixtures.places(s).withColumn("place", location.location(F.col("raw")))
 
@@ -603,7 +608,7 @@ def handle_align(s, d):
     return fixtures.profiles(s).select("id", name_handle_words(F.col("name"), F.col("screen_name")).alias("w")).select("id", "w.*")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('v1', 1, 'TX'), ('v2', 2, 'NV')) t(voter_id, profile_id, state)", shared=False)
 def linkage_e2e(s, d):
     _, pairs = linkage.candidates(fixtures.voters(s), linkage.index_profiles(fixtures.profiles(s)))
     return linkage.adjudicate(linkage.locate(pairs))
@@ -615,12 +620,13 @@ def record_repair(s, d):
     return files.repair_by_start(s.createDataFrame(lines, "line_no long, text string"), F.col("text").rlike("^[0-9]+\t"), ["line_no"])
 
 
-@query()
+@query("SELECT * FROM (VALUES ('f', 1, '101000000\t2015-01-06\tbib\tx\tbandung'), ('f', 2, '101000001\t2015-01-06\tname. sabir\tsab\t'), ('f', 3, '101000002\t2015-01-06\tsam\tunder\t')) t(file, record_no, record)", shared=False)
 def record_repair_fold(s, d):
     return files.repair_records(fixtures.raw_lines(s))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('1', '7', 'https://t.co/a', 'https://news.example.com:8080/x', 'orig', 'external', 'news.example.com:8080'), ('2', '7', 'https://t.co/b', 'http://site.example.org/b', 'retweeted', 'external', 'site.example.org'), "
+       "('3', '7', 'https://t.co/q', 'https://q.example.net/p', 'quoted', 'external', 'q.example.net')) t(tweet_id, user_id, shortened_url, canonical_url, where_url_found, link_type, website)", shared=False)
 def post_links(s, d):
     return posts.external(posts.links(fixtures.post_json(s)))
 
@@ -656,8 +662,7 @@ def _model_rows(s, d):
 def lr_scores(s, d):
     t = T(s, d, "documents").join(T(s, d, "labels"), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("y"), text.extract_all(F.lower("text"), "[a-z]+").alias("words"))
     vec, model = models.lasso_text(t, "words", "y", 5.0, (0.01,), 2)
-    p = F.udf(lambda v: float(v[1]), "double")
-    return model.transform(vec.transform(t)).select("doc_id", p("probability").alias("p"))
+    return model.transform(vec.transform(t)).select("doc_id", vector_to_array("probability")[1].alias("p"))
 
 
 @query()

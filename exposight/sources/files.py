@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,9 +88,3 @@ def repair_by_start(df: DataFrame, starts, order: list[str], text_col: str = "te
     numbered = df.withColumn("record_no", F.sum(starts.cast("int")).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text_col).alias("t"))))
     return numbered.groupBy(*by, "record_no").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("record"))
-
-
-def repeat_rows(pdfs: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """Each batch n times (resampling helper)."""
-    for pdf in pdfs:
-        yield pd.concat([pdf] * n, ignore_index=True)

@@ -41,17 +41,6 @@ def friendships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["state", "party"]).filter("panel_uid <> friend_uid").select("panel_uid", "friend_uid")
 
 
-def urls_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares by members."""
-    return urls(spark, sf_dir).filter(F.col("user_id") % 10 == 0)
-
-
-def urls_exp(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Exposures: shares of the people a member follows.  Only the columns asked for are carried through the join."""
-    wanted = columns or ("tweet_id", "canonical_url", "website", "ts")
-    return urls(spark, sf_dir).select("user_id", *wanted).withColumnRenamed("user_id", "friend_uid").join(friendships(spark, sf_dir), "friend_uid").select("panel_uid", "friend_uid", *wanted)
-
-
 def exposures_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(panel_uid, website, n): exposures summed per friend and site before the follow join, so the join carries sums."""
     per = urls(spark, sf_dir).groupBy(F.col("user_id").alias("friend_uid"), "website").agg(F.count("*").alias("k"))

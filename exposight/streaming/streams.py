@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
+
 
 def daily_counts(stream: DataFrame, ts: str, kind: str, late: str = "2 days") -> DataFrame:
     """Counts by day and kind; rows later than `late` are dropped once their day has closed."""
@@ -41,8 +42,7 @@ def capped(stream: DataFrame, by: list[str], cap: int, schema: str) -> DataFrame
 
 def drain(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its result as a table."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")).rstrip("/")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         out.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(out.schema).parquet(f"{run}/out")
