@@ -544,7 +544,8 @@ def vocab_prune(s, d):
        "c AS (SELECT word, count(*) FILTER (WHERE toxic = 1) AS c1, count(*) FILTER (WHERE toxic = 0) AS c0 FROM p JOIN labels USING (doc_id) GROUP BY 1), w AS (SELECT word, ln((c1 + 1) / (n1 + 2)) - ln((c0 + 1) / (n0 + 2)) AS pr, ln(1 - (c1 + 1) / (n1 + 2)) - ln(1 - (c0 + 1) / (n0 + 2)) AS ab, ln(n1) - ln(n0) AS prior FROM c, n), "
        "b AS (SELECT sum(ab) + any_value(prior) AS base FROM w), o AS (SELECT doc_id, sum(pr - ab) AS s FROM p JOIN w USING (word) GROUP BY 1) SELECT doc_id, round(coalesce(s, 0) + base, 4) AS llr FROM (SELECT DISTINCT doc_id FROM p) LEFT JOIN o USING (doc_id), b", shared=False)
 def nb_llr_scores(s, d):
-    t = graph.keep(_tokens(s, d).distinct())  # read by several branches, so the texts are split once
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
+    t = graph.keep(T(s, d, "documents").select("doc_id", F.explode(words).alias("word")).distinct())  # read by several branches, so the texts are split once
     often = t.groupBy("word").agg(F.count("*").alias("k")).filter("k >= 20").select("word")
     return models.naive_bayes_scores(graph.keep(t.join(often, "word")), T(s, d, "labels"), "doc_id", "word", "toxic").select("doc_id", F.round("llr", 4).alias("llr"))
 
