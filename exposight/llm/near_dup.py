@@ -171,7 +171,7 @@ def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(fresh), "comps")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, direct: int = 32, rounds: int = 8, few: int = 100_000) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, direct: int = 128, rounds: int = 8, few: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df.
 
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased; a set is the distinct n-word shingles, or the
