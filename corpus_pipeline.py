@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Toxicity, decontamination and packing cannot be said in SQL; tests hold each stage against brute force.
+#: Toxicity, decontamination and packing cannot be said in SQL; tests hold the operators of the stages, not the pipeline, against brute force.
 ORACLE_SQL = None
