@@ -1,4 +1,12 @@
-"""A corpus pipeline: each stage takes the documents that the one before kept."""
+"""A corpus pipeline: each stage takes the documents that the one before kept.
+
+All stages but the last return the columns of their documents, whatever those are besides doc_id and text; names of
+the operators' own results may be among them.  A null text stays null and is kept, as an empty one is: it is not toxic,
+has no lines to drop, no copies and no passage.  A row with a null id is judged by its text in the first and fourth stage
+and kept whole by the other two.  Rows that repeat an id are one document to line dedup and near duplicates, which keep or drop
+them together.  Empty documents, labels or benchmark tables are allowed; without labels of both kinds the
+toxicity score is a constant.  Texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -16,9 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document has; n_chars follows the text."""
+    """Documents without lines that a document of a smaller id has; n_chars, where there is one, follows the text."""
     out = line_dedup.line_dedup(docs, lines_col="__lines", dropped_col="__dropped").drop("__lines", "__dropped")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Toxicity, decontamination and packing cannot be said in SQL; tests hold the operators of the stages, not the pipeline, against brute force.
+#: Toxicity, decontamination and packing cannot be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
