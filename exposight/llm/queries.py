@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, embedding_dup, html_text, licenses, line_dedup, lm_score, near_dup, packing, secrets, toxicity
+from . import contamination, embedding_dup, html_text, licenses, line_dedup, lm_score, near_dup, packing, pattern_packing, secrets, toxicity
 from ._spark import crc_text
 
 
@@ -62,8 +62,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_by_patterns(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_near_dup, op4_decontamination, op5_embedding_dup, op6_packing, op7_toxicity, op8_line_dedup, op9_lm_score, op10_licenses)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_near_dup, op4_decontamination, op5_embedding_dup, op6_packing, op7_toxicity, op8_line_dedup, op9_lm_score, op10_licenses, op11_packing)}
 
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
