@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, embedding_dup, html_text, licenses, line_dedup, lm_score, near_dup, packing, pattern_packing, secrets, toxicity
+from . import contamination, embedding_dup, html_text, licenses, line_dedup, lm_score, near_dup, packing, pattern_packing, resampling, secrets, toxicity, whitening
 from ._spark import crc_text
 
 
@@ -66,8 +66,17 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack_by_patterns(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_html, op3_near_dup, op4_decontamination, op5_embedding_dup, op6_packing, op7_toxicity, op8_line_dedup, op9_lm_score, op10_licenses, op11_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_html, op3_near_dup, op4_decontamination, op5_embedding_dup, op6_packing, op7_toxicity, op8_line_dedup, op9_lm_score, op10_licenses, op11_packing, op12_whitening, op13_resampling)}
 
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -105,7 +114,26 @@ d AS (SELECT k.*, f.first IS NOT NULL AND f.first <> k.doc_id AS gone FROM k LEF
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id
 """
 
+_RESAMPLE_SQL = r"""
+WITH lower AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+lowered AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lower),
+v AS (SELECT unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lowered),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM w UNION SELECT word FROM v)),
+bytes AS (SELECT word, list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM words),
+crc AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END)), 4294967295) % 10000 AS bucket FROM bytes),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM v JOIN crc USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+      FROM (SELECT bucket FROM s UNION SELECT bucket FROM t) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM w JOIN crc USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d WHERE n_features >= 20)
+SELECT d.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM d LEFT JOIN r USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators it can express."""
-    return {"op3_near_dup": _NEAR_SQL, "op5_embedding_dup": _VECTOR_SQL, "op8_line_dedup": _LINE_SQL}
+    return {"op3_near_dup": _NEAR_SQL, "op5_embedding_dup": _VECTOR_SQL, "op8_line_dedup": _LINE_SQL, "op13_resampling": _RESAMPLE_SQL}
