@@ -149,7 +149,7 @@ def plan_lengths(rests: DataFrame, capacity: int, rows: int) -> cutting_stock.Pl
         return pd.DataFrame({"lengths": lists[0], "counts": lists[1], "often": pd.Series([x for _, x in found], dtype=float)})
 
     dealt = spark.createDataFrame([(b, n, c) for b, block in enumerate(blocks) for n, c in block.items()], "block int, length long, n long")
-    solved = dealt.groupBy("block").applyInPandas(solve, "lengths array<long>, counts array<long>, often double").collect()
+    solved = dealt.repartition(len(blocks), "block").groupBy("block").applyInPandas(solve, "lengths array<long>, counts array<long>, often double").collect()
     patterns = sorted((tuple(zip(r["lengths"], r["counts"])), r["often"]) for r in solved)
     return cutting_stock.round_patterns(histogram, patterns, capacity)
 
@@ -200,7 +200,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack_by_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, tokenizer: str | None = None, rows: int = 128) -> DataFrame:
+def pack_by_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, tokenizer: str | None = None, rows: int = 128, few_cuts: int = 100_000) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then end_id; a null or empty text is end_id alone.  Sequences are padded to
@@ -208,7 +208,7 @@ def pack_by_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     patterns that fill a sequence, long ones and what fits no pattern are cut.  Rows that repeat an id, or have
     none, are packed once each, under that id.  Other columns of df are ignored; an empty table gives an empty
     one.  tokenizer is a file of the `tokenizers` library, by default the public BPE with word ends.  rows bounds
-    the lengths of one linear program.
+    the lengths of one linear program; up to few_cuts parts of cut pieces are broadcast to the ids, more are joined by a shuffle.
     """
     if tokenizer is None:
         import public_tokenizers as P
@@ -226,7 +226,9 @@ def pack_by_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranked = rests.join(firsts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("first")).drop("first")
     placed = materialize(ranked.mapInArrow(places(plan, capacity), "doc_id long, part int, row long, start long, begin long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "places")
     kept = placed.filter("ids_crc32 is not null").select(OUT)
-    cut = placed.filter("ids_crc32 is null").join(items.select("part", "row", "ids"), ["part", "row"]).mapInArrow(_checksums, kept.schema)
+    cut = placed.filter("ids_crc32 is null")
+    cut = F.broadcast(cut) if cut.count() <= few_cuts else cut  # else ids are shuffled to their cuts
+    cut = items.select("part", "row", "ids").join(cut, ["part", "row"]).mapInArrow(_checksums, kept.schema)
     own = -1 - (F.col("part").cast("long") * F.lit(1 << 36) + F.col("row"))  # a full sequence of one document needs no place
     full = items.filter(F.col("length") == capacity).withColumn("sequence_id", own).withColumn("offset", F.lit(0).cast("long")).select(OUT)
     return kept.unionByName(cut).unionByName(full)

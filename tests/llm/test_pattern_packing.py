@@ -76,8 +76,9 @@ def test_pack(spark, capacity):
 def test_only_long_alike_documents(spark):
     """No pattern fits: all are cut, and still nothing is padded."""
     texts = [(k, "cat " * 41) for k in range(70)]
-    rows = P.pack_by_patterns(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), capacity=64).collect()
-    check(rows, 64, texts, tokenizer())
+    for few in (0, 1000):
+        rows = P.pack_by_patterns(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), capacity=64, few_cuts=few).collect()
+        check(rows, 64, texts, tokenizer())
 
 
 def test_table_ids(spark):
