@@ -47,7 +47,7 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
     """(bucket, gain) for every bucket: floor(1000 ln((t+1)(S+buckets) / ((s+1)(T+buckets))))."""
     both = corpus.select("bucket", "s", F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), "t"))
     every = corpus.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
-    sums = both.unionByName(every).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    sums = materialize(both.unionByName(every).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")  # read twice, counted once
     S, T = sums.agg(F.sum("s"), F.sum("t")).first()
     d = lambda c: F.col(c).cast("double")
     ratio = (d("t") + 1.0) * (S + float(buckets)) / ((d("s") + 1.0) * (T + float(buckets)))
@@ -101,7 +101,7 @@ def resample(
     docs = docs.withColumn("uid", F.monotonically_increasing_id())
     corpus = bucket_counts(positions(docs, F.col("text"), order, ["uid"]), buckets, "s")
     goal = bucket_counts(positions(target.select(F.col(target_text).alias("text")).withColumn("uid", F.monotonically_increasing_id()), F.col("text"), order, ["uid"]), buckets, "t")
-    table = F.broadcast(materialize(gains(corpus, goal, buckets), "gains"))  # `buckets` rows
+    table = F.broadcast(gains(corpus, goal, buckets))  # `buckets` rows
     features = positions(docs, F.col("text"), order, ["uid", "doc_id"])
     joined = features.withColumn("bucket", bucket(F.col("feature"), buckets)).join(table, "bucket", "left")
     n = F.count("feature")
