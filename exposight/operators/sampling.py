@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def order_key(salt: str | Column, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], salt if isinstance(salt, Column) else F.lit(salt)))
@@ -23,10 +23,11 @@ def stratified_cap(df: DataFrame, by: list[str], cap: int, salt: str, *keys: str
 
 
 def balanced(df: DataFrame, label: str, salt: str, *keys: str) -> DataFrame:
-    """All positives and as many negatives."""
-    n = df.agg(F.count_if(F.col(label) == 1).alias("__pos"))
-    ranked = df.withColumn("__n", F.row_number().over(W.partitionBy(label).orderBy(order_key(salt, *keys), *keys)))
-    return ranked.join(F.broadcast(n)).filter((F.col(label) == 1) | (F.col("__n") <= F.col("__pos"))).drop("__n", "__pos")
+    """All positives and as many negatives, the first by hash."""
+    pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
+    n = pos.count()
+    ranked = running(neg.withColumn("__key", order_key(salt, *keys)), [F.col("__key"), *map(F.col, keys)], {"__n": F.lit(1)})
+    return pos.unionByName(ranked.filter(F.col("__n") < n).drop("__n", "__key"))
 
 
 def folds(df: DataFrame, k: int, salt: str, *keys: str) -> DataFrame:
@@ -34,14 +35,18 @@ def folds(df: DataFrame, k: int, salt: str, *keys: str) -> DataFrame:
     return df.withColumn("fold", F.conv(F.substring(order_key(salt, *keys), 1, 7), 16, 10).cast("long") % k)
 
 
+def random_units(df: DataFrame, unit: str, n: int, replicates: int) -> DataFrame:
+    """(unit, rep, and the other columns): n random units for each replicate, the first by hash."""
+    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
+    key = F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("rep").cast("string")))
+    return reps.withColumn("__n", F.row_number().over(W.partitionBy("rep").orderBy(key, unit))).filter(F.col("__n") <= n).drop("__n")
+
+
 def random_ginis(df: DataFrame, unit: str, value: str, n: int, replicates: int) -> DataFrame:
     """Gini of the values of n random units, for each replicate: ranks by hash, then one grouped Gini."""
-    reps = df.select(unit, value).withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))))
-    key = F.md5(F.concat_ws("|", F.col(unit).cast("string"), F.col("rep").cast("string")))
-    chosen = reps.withColumn("__n", F.row_number().over(W.partitionBy("rep").orderBy(key, unit))).filter(F.col("__n") <= n)
     from .stats import gini
 
-    return gini(chosen.drop("__n"), value, ["rep"], unit)
+    return gini(random_units(df.select(unit, value), unit, n, replicates), value, ["rep"], unit)
 
 
 def cap_expected(daily: DataFrame, caps: list[int], total: str = "n", fake: str = "fake") -> DataFrame:
@@ -60,26 +65,3 @@ def cap_trials(posts: DataFrame, person: list[str], fake: Column, caps: list[int
     wide = ranked.groupBy("trial").agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).cast("long").alias("cap"), F.col(f"fake_{c}").alias("kept_fake"), F.col(f"other_{c}").alias("kept_other")) for c in caps])
     return wide.select(F.col("trial").cast("long").alias("trial"), F.explode(rows).alias("r")).select("trial", "r.*")
-
-
-def match_nearest(df: DataFrame, unit: str, treated: str, score: str, ratio: int = 5, most: int = 100_000) -> DataFrame:
-    """(treated unit, matched unit): nearest scores without replacement, greatest treated score first.
-
-    The order decides, so it runs in one place; the number of units (sites) is checked first.
-    """
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} units: above {most}; match within strata")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, c = pdf[pdf[treated] == 1].sort_values([score, unit], ascending=[False, True]), pdf[pdf[treated] == 0].sort_values(unit)
-        free, values, ids, out = np.ones(len(c), bool), c[score].to_numpy(float), c[unit].to_numpy(), []
-        for u, s in zip(t[unit], t[score]):
-            d = np.where(free, np.abs(values - s), np.inf)
-            for k in np.argsort(d, kind="stable")[:ratio]:
-                if free[k]:
-                    free[k] = False
-                    out.append((int(u), int(ids[k])))
-        return pd.DataFrame(out, columns=["treated_unit", "matched_unit"])
-
-    return df.select(F.col(unit).cast("long").alias(unit), F.col(treated).cast("int").alias(treated), F.col(score).cast("double").alias(score), F.lit(1).alias("__g")).groupBy("__g").applyInPandas(run, "treated_unit long, matched_unit long")

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import running
+from .tails import t_two_sided, t_upper
+
 Z95 = 1.959963984540054
 
 
-def gini(df: DataFrame, value: str, by: list[str], tie: str) -> DataFrame:
-    """Gini coefficient of each group: (2 sum(i*y_i) / sum(y) - (n+1)) / n, values in ascending order."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_first(value), tie))
-    ranked = df.withColumn("__i", rank)
-    return ranked.groupBy(*by).agg(((2 * F.sum(F.col("__i") * F.col(value)) / F.nullif(F.sum(value), F.lit(0)) - (F.count("*") + 1)) / F.count("*")).alias("gini"), F.count("*").alias("n"))
+def gini(df: DataFrame, value: str, by: list[str], tie: str | None = None, n: Column | None = None) -> DataFrame:
+    """(by, gini, n): Gini coefficient of each group, (2 sum(i * y_i) / sum(y) - (n + 1)) / n with values in ascending order.
+
+    With n, a column over by, each group is filled up with zeros to n values.  Values alike are counted first: k of them after
+    `before` others have ranks that add up to k * before + k (k + 1) / 2.  Running counts go through ranges, so no task holds a group.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("__k")).filter(F.col(value).isNotNull())
+    ranked = running(counts, [F.col(value)], {"__before": F.col("__k")}, by)
+    k, v = F.col("__k").cast("double"), F.col(value).cast("double")
+    sums = ranked.groupBy(*by).agg(F.sum("__k").alias("__len"), F.sum(k * v).alias("__total"), F.sum((k * F.col("__before") + k * (k + 1) / 2) * v).alias("__weighed"))
+    out = sums.withColumn("n", F.greatest(n.cast("long"), "__len") if n is not None else F.col("__len"))
+    weighed = F.col("__weighed") + (F.col("n") - F.col("__len")) * F.col("__total")  # zeros come first: every rank moves up by their number
+    return out.select(*by, ((2 * weighed / F.nullif("__total", F.lit(0.0)) - (F.col("n") + 1)) / F.col("n")).alias("gini"), "n")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -49,58 +57,13 @@ def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return (d - fix) * (d - fix) / (p * (1 - p) * (1 / n1 + 1 / n2))
 
 
-def chi1_p(chi: Column) -> Column:
-    """Upper tail of chi-square with one degree of freedom."""
-
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v == v else None)
-
-    return tail(chi)
-
-
-def binomial_tail(x: Column, n: Column, p: Column) -> Column:
-    """-log P(X >= x) of a binomial, in log space; infinite values become the greatest finite double."""
-
-    def one(k: float, m: float, q: float) -> float:
-        k, m = int(k), int(m)
-        if k <= 0:
-            return 0.0
-        if k > m or q <= 0:
-            return float(np.finfo(float).max)
-        if q >= 1:
-            return 0.0
-        term = math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(q) + (m - k) * math.log1p(-q)
-        total, ratio, i = 1.0, 1.0, k
-        if k > m * q:
-            while i < m and ratio > 1e-17 * total:
-                ratio *= (m - i) / (i + 1) * q / (1 - q)
-                total += ratio
-                i += 1
-            return max(0.0, -(term + math.log(total)))
-        below, ratio, i = 0.0, 1.0, k  # the lower tail is the short one
-        while i > 0:
-            ratio *= i / (m - i + 1) * (1 - q) / q
-            below += ratio
-            i -= 1
-            if ratio < 1e-17 * max(below, 1e-300):
-                break
-        low = math.exp(min(0.0, term + math.log(below))) if below > 0 else 0.0
-        return max(0.0, -math.log(max(1 - low, 1e-300)))
-
-    @F.pandas_udf("double")
-    def tail(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([one(*v) for v in zip(a, b, c)])
-
-    return tail(x.cast("double"), n.cast("double"), p.cast("double"))
-
-
 def welch(df: DataFrame, value: str, test: Column) -> DataFrame:
-    """t and degrees of freedom for the mean of value where test holds against where it does not."""
+    """t, degrees of freedom and p (two-sided, and for a greater mean) for the mean of value where test holds against where it does not."""
     g = [F.avg(F.when(c, F.col(value))).alias(f"m{i}") for i, c in ((1, test), (0, ~test))]
     g += [F.var_samp(F.when(c, F.col(value))).alias(f"v{i}") for i, c in ((1, test), (0, ~test))] + [F.count(F.when(c, F.col(value))).alias(f"n{i}") for i, c in ((1, test), (0, ~test))]
     a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
-    return df.agg(*g).select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("dof"))
+    out = df.agg(*g).select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) * (a + b) / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("dof"))
+    return out.select("t", "dof", t_two_sided(F.col("t"), F.col("dof")).alias("p"), t_upper(F.col("t"), F.col("dof")).alias("p_greater"))
 
 
 def krippendorff_nominal(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -120,18 +83,17 @@ def confusion(label: Column, predicted: Column) -> list[Column]:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve by rank sums; ties have mean ranks.  Ranks come from counts by score, so no task holds all rows."""
+    """Area under the curve by rank sums; ties have mean ranks.  Scores are counted first, and running counts go through ranges."""
     by_score = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.sum("neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    won = F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2)
-    return by_score.withColumn("won", won).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    won = F.col("pos") * (F.col("__below") + F.col("neg") / 2)
+    return running(by_score, [F.col(score)], {"__below": F.col("neg")}).withColumn("won", won).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def survey_mean(df: DataFrame, value: Column, weight: str, by: list[str]) -> DataFrame:
     """Weighted mean, its linearised standard error, and mean -+ 2 SE."""
     v = df.withColumn("__v", value.cast("double"))
     means = v.groupBy(*by).agg(weighted_mean(F.col("__v"), F.col(weight)).alias("mean"), F.sum(weight).alias("__w"), F.count("*").alias("__n"))
-    terms = v.join(F.broadcast(means), by).withColumn("__u", F.col(weight) * (F.col("__v") - F.col("mean")) / F.col("__w"))
+    terms = v.join(means, by).withColumn("__u", F.col(weight) * (F.col("__v") - F.col("mean")) / F.col("__w"))
     se = terms.groupBy(*by).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("__u") * F.col("__u")) * F.first("__n") / F.nullif(F.first("__n") - 1, F.lit(0))).alias("se"))
     return se.select(*by, "mean", "se", (F.col("mean") - 2 * F.col("se")).alias("lo"), (F.col("mean") + 2 * F.col("se")).alias("hi"))
 

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ranking import level_order
 
 
-def panel_data(df: DataFrame, with_trolls: bool = False, with_bots: bool = False, own_scores: bool = False) -> DataFrame:
-    """People of a panel without trolls and bots.  Trolls go first; then is_bot is set anew from bot_score and ntweets_total, unless own_scores; then bots go."""
-    out = df if with_trolls else df.filter(~F.coalesce(F.col("is_troll"), F.lit(False)))
-    if not own_scores:
-        out = out.withColumn("is_bot", F.coalesce((F.col("bot_score") >= 0.7) & (F.col("ntweets_total") >= 50), F.lit(False)))
-    return out if with_bots else out.filter(~F.coalesce(F.col("is_bot"), F.lit(False)))
+def panel_data(df: DataFrame, with_trolls: bool = False, with_bots: bool = False, scores: bool = False) -> DataFrame:
+    """People of a panel without compromised accounts and without bots.
+
+    is_bot stays as it is given; with scores it is set anew from bot_score (0.7 and more) and ntweets_total (50 and more).  Who
+    is compromised, or a bot, by a null is not known not to be and goes too.
+    """
+    out = df if with_trolls else df.filter(~F.col("is_compromised"))
+    if scores:
+        out = out.withColumn("is_bot", (F.col("bot_score") >= 0.7) & (F.col("ntweets_total") >= 50))
+    return out if with_bots else out.filter(~F.col("is_bot"))
 
 
 def fill_numeric(df: DataFrame, value: float = 0) -> DataFrame:
@@ -67,17 +70,6 @@ def coverage(df: DataFrame, covered: Column, left_out: Column) -> DataFrame:
     return df.filter(~left_out).agg((F.count_if(covered) / F.nullif(F.count("*"), F.lit(0))).alias("coverage"))
 
 
-def padded_gini(df: DataFrame, value: str, by: list[str], n: Column) -> DataFrame:
-    """Gini of each group's values and as many zeros as make n of them.  Values are counted first, so a task holds distinct values and not rows."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("k"))
-    w = W.partitionBy(*by).orderBy(value)
-    before = F.coalesce(F.sum("k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("ranks", F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2)
-    out = ranked.groupBy(*by).agg(F.sum("k").alias("len"), F.sum(F.col("k") * F.col(value)).alias("total"), F.sum(F.col("ranks") * F.col(value)).alias("weighed")).withColumn("n", F.greatest(n, F.col("len")))
-    # Zeros come first: every rank moves up by their number.
-    return out.select(*by, "n", ((2 * (F.col("weighed") + (F.col("n") - F.col("len")) * F.col("total")) / F.nullif("total", F.lit(0)) - (F.col("n") + 1)) / F.col("n")).alias("gini"))
-
-
 def krippendorff_ratio(df: DataFrame, a: str, b: str) -> DataFrame:
     """Alpha of two raters on a ratio scale, no missing values, from value counts."""
     d2 = lambda x, y: F.when((F.col(x) + F.col(y)) != 0, ((F.col(x) - F.col(y)) / (F.col(x) + F.col(y))) * ((F.col(x) - F.col(y)) / (F.col(x) + F.col(y)))).otherwise(0.0)

@@ -33,13 +33,13 @@ def query(sql: str | None = None, shared: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more  # noqa: F401  registers the rest
+    from . import inference, more  # noqa: F401  register the rest
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more  # noqa: F401
+    from . import inference, more  # noqa: F401
 
     return dict(_SQL)
 
@@ -376,11 +376,6 @@ def backbone_expected(s, d):
     return graph.backbone(graph.keep(_pairs(s, d))).select("i", "j", "x", "w_i", "w_j", r6("q", "q"), F.round("p", 9).alias("p"))
 
 
-@query()
-def backbone_pvalue(s, d):
-    return graph.significance(graph.backbone(graph.keep(_pairs(s, d)))).select("i", "j", "x", "significance")
-
-
 _THR = _BB + ", th AS (SELECT i, j, x FROM bb WHERE x > (SELECT quantile_cont(x, 0.96) FROM bb) AND i <> j)"
 
 
@@ -403,11 +398,6 @@ def label_propagation(s, d):
     return graph.label_propagation(_strong(s, d), "x")
 
 
-@query()
-def modularity_clusters(s, d):
-    return graph.modularity_clusters(_strong(s, d), "x")
-
-
 @query(", c AS (SELECT panel_uid, website % 4 AS cluster, count(*) AS k FROM urls_exp GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY panel_uid) AS total FROM c) SELECT panel_uid, cluster, round(k / total, 6) AS share FROM t WHERE total > 100")
 def cluster_share_per_person(s, d):
     clusters = roles.domains(s, d).select(F.col("website").alias("node"), (F.col("website") % 4).alias("cluster"))
@@ -672,12 +662,6 @@ def glm_offset(s, d):
     return models.alignment(models.ridge_logit(rows, ["log_chars", "is_en"], "y", "off"), rows, "off").select("doc_id", "score")
 
 
-@query()
-def propensity_match(s, d):
-    c = roles.urls(s, d).groupBy("website").agg(F.count("*").alias("n")).join(roles.domains(s, d), "website").select("website", (F.col("domain_color_num") <= 3).cast("int").alias("t"), F.log10(F.col("n") + 1.0).alias("score"))
-    return sampling.match_nearest(c, "website", "t", "score", 2)
-
-
 # Streams, each with a batch equivalent
 def _stream(s, d):
     """The events table as a file stream; a table in one file is picked out of its folder by name."""

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ranking, sampling, series, summaries
+from ..operators import ranking, sampling, series, stats, summaries
 from ..sources import roles
 from .catalogue import T, query, r6
 
 
 def _panel(s, d):
-    c = T(s, d, "customer")
-    return c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 17 == 0).alias("is_troll"), (F.abs("c_acctbal") / 10000).alias("bot_score"), (F.col("c_custkey") % 200).alias("ntweets_total"), F.col("c_mktsegment").alias("party"))
+    c, k = T(s, d, "customer"), F.col("c_custkey")
+    return c.select(
+        k.alias("user_id"), F.when(k % 13 != 0, k % 17 == 0).alias("is_compromised"), F.when(k % 11 != 0, k % 7 == 0).alias("is_bot"), F.when(k % 19 != 0, F.abs("c_acctbal") / 10000).alias("bot_score"), F.when(k % 23 != 0, k % 200).alias("ntweets_total")
+    )
 
 
-_PANEL = "WITH p AS (SELECT c_custkey AS user_id, c_custkey % 17 = 0 AS is_troll, abs(c_acctbal) / 10000 AS bot_score, c_custkey % 200 AS ntweets_total, c_mktsegment AS party FROM customer)"
+_PANEL = """WITH p AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 17 = 0 END AS is_compromised, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 7 = 0 END AS is_bot,
+CASE WHEN c_custkey % 19 <> 0 THEN abs(c_acctbal) / 10000 END AS bot_score, CASE WHEN c_custkey % 23 <> 0 THEN c_custkey % 200 END AS ntweets_total FROM customer)"""
 
 
-@query(_PANEL + " SELECT user_id, bot_score >= 0.7 AND ntweets_total >= 50 AS is_bot FROM p WHERE NOT is_troll AND NOT (bot_score >= 0.7 AND ntweets_total >= 50)", shared=False)
+@query(_PANEL + " SELECT user_id, is_bot FROM p WHERE is_compromised = false AND is_bot = false", shared=False)
 def panel_without_bots(s, d):
     return summaries.panel_data(_panel(s, d)).select("user_id", "is_bot")
 
 
+@query(_PANEL + ", n AS (SELECT user_id, bot_score >= 0.7 AND ntweets_total >= 50 AS is_bot FROM p WHERE is_compromised = false) SELECT user_id, is_bot FROM n WHERE is_bot = false", shared=False)
+def panel_without_scored_bots(s, d):
+    return summaries.panel_data(_panel(s, d), scores=True).select("user_id", "is_bot")
+
+
 @query(_PANEL + " SELECT user_id, bot_score >= 0.7 AND ntweets_total >= 50 AS is_bot FROM p", shared=False)
 def panel_with_all(s, d):
-    return summaries.panel_data(_panel(s, d), with_trolls=True, with_bots=True).select("user_id", "is_bot")
+    return summaries.panel_data(_panel(s, d), with_trolls=True, with_bots=True, scores=True).select("user_id", "is_bot")
 
 
 @query("SELECT c_custkey AS user_id, coalesce(o.n, 0) AS n, coalesce(o.spent, 0) AS spent, o.last_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent, max(o_orderstatus) AS last_status FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON o_custkey = c_custkey", shared=False)
@@ -85,7 +93,7 @@ def coverage_ratio(s, d):
        "SELECT kind, any_value(n) AS n, round((2 * sum(i * v) / sum(v) - (any_value(n) + 1)) / any_value(n), 6) AS gini FROM k GROUP BY 1")
 def gini_zero_padded(s, d):
     c = roles.urls(s, d).groupBy(F.col("where_url_found").alias("kind"), "user_id").agg(F.count("*").alias("v"))
-    return summaries.padded_gini(c, "v", ["kind"], F.lit(T(s, d, "customer").count())).select("kind", "n", r6("gini", "gini"))
+    return stats.gini(c, "v", ["kind"], n=F.lit(T(s, d, "customer").count())).select("kind", "n", r6("gini", "gini"))
 
 
 @query("WITH p AS (SELECT l_linenumber AS x, CAST(l_quantity AS INT) % 7 + 1 AS y FROM lineitem), d AS (SELECT x, y, ((x - y) / (x + y)) ** 2 AS d2 FROM p), o AS (SELECT 2 * sum(d2) AS o, 2 * count(*) AS n FROM d), v AS (SELECT v, count(*) AS k FROM (SELECT x AS v FROM p UNION ALL SELECT y FROM p) GROUP BY 1), "

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", app: str = "exposight", **conf: str) -> SparkSession:
@@ -23,7 +24,7 @@ def session(master: str = "local[*]", app: str = "exposight", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir.  Where it is unset a local session gets a temporary one; a cluster must name it."""
+    """The folder all machines share: spark.checkpoint.dir.  Where it is unset a local session, which has one machine, gets a temporary one; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -31,3 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again: iterations do not stack their plans, several branches do the work once, and lost executors cost no rows."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

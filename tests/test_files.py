@@ -39,7 +39,7 @@ def test_p_value(spark):
 
     from pyspark.sql import functions as F
 
-    from exposight.operators.stats import chi1_p
+    from exposight.operators.tails import chi_square
 
-    p = spark.range(1).select(chi1_p(F.lit(3.841458820694124)).alias("p")).first()["p"]
+    p = spark.range(1).select(chi_square(F.lit(3.841458820694124), F.lit(1)).alias("p")).first()["p"]
     assert math.isclose(p, 0.05, rel_tol=1e-9)

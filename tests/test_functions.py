@@ -56,7 +56,8 @@ def test_segments_cover(values):
 def test_gini_and_tail(spark):
     from pyspark.sql import functions as F
 
-    from exposight.operators.stats import binomial_tail, gini
+    from exposight.operators.stats import gini
+    from exposight.operators.tails import binomial_tail
 
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate((1, 2, 7))] + [("b", i, 5) for i in range(2)], "g string, i int, v long")
     got = {r["g"]: r["gini"] for r in gini(df, "v", ["g"], "i").collect()}
