@@ -142,3 +142,8 @@ def verdict(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     true, false = t.rlike("(?i)true"), t.rlike("(?i)false|incorrect|inaccurate|unproven")
     return F.when(F.length(t) <= 100, F.when(true & false, "both").when(false, "false").when(true, "true").otherwise("none"))
+
+
+def any_term(texts: Column, terms: list[str]) -> Column:
+    """Whether any of an array of texts holds any of the terms, in any case."""
+    return F.exists(texts, lambda x: F.coalesce(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(x), F.lower(t))), F.lit(False)))

@@ -91,3 +91,14 @@ def linear_trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def running_cap(df: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= cap).drop("__n")
+
+
+def age(birth_date: Column, year: int) -> Column:
+    """Years from the year of a date as text (YYYY-MM-DD) to `year`; null for anything else."""
+    return F.lit(year) - F.regexp_extract(birth_date, r"^(\d{4})-\d{2}-\d{2}$", 1).try_cast("int")
+
+
+def days_between(ts: Column, start: str, first: int, last: int) -> Column:
+    """Whole days from start, null outside first to last."""
+    day = F.date_diff(F.to_date(ts), F.lit(start).cast("date")).cast("long")
+    return F.when(day.between(first, last), day)

@@ -605,10 +605,11 @@ def linkage_e2e(s, d):
     return linkage.adjudicate(linkage.locate(pairs))
 
 
-@query("WITH l(line_no, text) AS (VALUES (1, '101\ta'), (2, 'tail of a'), (3, '102\tb'), (4, '103\tc'), (5, ' more c'), (6, ' and more')), m AS (SELECT *, sum(CASE WHEN regexp_matches(text, '^[0-9]+\t') THEN 1 ELSE 0 END) OVER (ORDER BY line_no) AS record_no FROM l) SELECT CAST(record_no AS BIGINT) AS record_no, string_agg(text, '' ORDER BY line_no) AS record FROM m GROUP BY 1", shared=False)
+@query("SELECT row_number() OVER (ORDER BY conv_id) AS record_no, conv_id || chr(9) || string_agg(coalesce(text, ''), '' ORDER BY turn) AS record FROM conversations GROUP BY conv_id", shared=False)
 def record_repair(s, d):
-    lines = [(1, "101\ta"), (2, "tail of a"), (3, "102\tb"), (4, "103\tc"), (5, " more c"), (6, " and more")]
-    return files.repair_by_start(s.createDataFrame(lines, "line_no long, text string"), F.col("text").rlike("^[0-9]+\t"), ["line_no"])
+    first = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) == 1
+    lines = T(s, d, "conversations").withColumn("text", F.concat(F.when(first, F.concat("conv_id", F.lit("\t"))).otherwise(F.lit("")), F.coalesce("text", F.lit(""))))
+    return files.repair_by_start(lines, F.col("text").rlike("^[0-9]+\t"), ["conv_id", "turn"])
 
 
 @query("SELECT * FROM (VALUES ('f', 1, '101000000\t2015-01-06\tbib\tx\tbandung'), ('f', 2, '101000001\t2015-01-06\tname. sabir\tsab\t'), ('f', 3, '101000002\t2015-01-06\tsam\tunder\t')) t(file, record_no, record)", shared=False)
@@ -616,10 +617,22 @@ def record_repair_fold(s, d):
     return files.repair_records(fixtures.raw_lines(s))
 
 
-@query("SELECT * FROM (VALUES ('1', '7', 'https://t.co/a', 'https://news.example.com:8080/x', 'orig', 'external', 'news.example.com:8080'), ('2', '7', 'https://t.co/b', 'http://site.example.org/b', 'retweeted', 'external', 'site.example.org'), "
-       "('3', '7', 'https://t.co/q', 'https://q.example.net/p', 'quoted', 'external', 'q.example.net')) t(tweet_id, user_id, shortened_url, canonical_url, where_url_found, link_type, website)", shared=False)
+def _posts(s, d):
+    """Events as post JSON: clicks are retweets, purchases quote a post, errors link to themselves."""
+    e = T(s, d, "events").select(F.col("event_id").cast("string").alias("i"), F.col("user_id").cast("string").alias("u"), "event_type")
+    lists = lambda url, to: F.concat(F.lit('"entities":{"urls":[{"url":"'), url, F.lit('","expanded_url":"'), to, F.lit('"}],"media":[],"user_mentions":[]}'))
+    post = lambda kind, to: F.concat(F.lit('{"id_str":"'), F.lit(kind), "i", F.lit('","full_text":"t","user":{"id_str":"'), "u", F.lit('","screen_name":"n"},'), lists(F.concat(F.lit("https://t.co/" + kind), "i"), to))
+    own = F.when(F.col("event_type") == "error", F.concat(F.lit("https://twitter.com/n/status/"), "i")).otherwise(F.concat(F.lit("https://site.example.com:8080/"), "i"))
+    inner = lambda name, kind, host: F.concat(F.lit(f',"{name}":'), post(kind, F.concat(F.lit(f"http://{host}/"), "i")), F.lit("}"))
+    more = F.when(F.col("event_type") == "click", inner("retweeted_status", "r", "r.example.org")).when(F.col("event_type") == "purchase", inner("quoted_status", "q", "q.example.net")).otherwise(F.lit(""))
+    return e.select(F.from_json(F.concat(post("", own), more, F.lit("}")), posts.SCHEMA).alias("p")).select("p.*")
+
+
+@query("WITH e AS (SELECT CAST(event_id AS VARCHAR) AS tweet_id, CAST(user_id AS VARCHAR) AS user_id, event_type AS t FROM events), l AS (SELECT tweet_id, user_id, 'https://t.co/' || tweet_id AS shortened_url, 'https://site.example.com:8080/' || tweet_id AS canonical_url, 'orig' AS where_url_found FROM e WHERE t NOT IN ('click', 'error') "
+       "UNION ALL SELECT tweet_id, user_id, 'https://t.co/r' || tweet_id, 'http://r.example.org/' || tweet_id, 'retweeted' FROM e WHERE t = 'click' UNION ALL SELECT tweet_id, user_id, 'https://t.co/q' || tweet_id, 'http://q.example.net/' || tweet_id, 'quoted' FROM e WHERE t = 'purchase') "
+       "SELECT *, 'external' AS link_type, split_part(split_part(canonical_url, '//', 2), '/', 1) AS website FROM l", shared=False)
 def post_links(s, d):
-    return posts.external(posts.links(fixtures.post_json(s)))
+    return posts.external(posts.links(_posts(s, d)))
 
 
 @query()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import ranking, sampling, series, stats, summaries
-from ..sources import roles
+from ..functions import location, text
+from ..operators import patterns, ranking, sampling, series, stats, summaries
+from ..session import shared_dir
+from ..sources import ledger, roles, textindex
+from ..streaming import streams
+from . import catalogue
 from .catalogue import T, query, r6
 
 
@@ -48,11 +53,12 @@ def row_means(s, d):
     return T(s, d, "labels").select("doc_id", "quality", "toxic").unionByName(lone).select("doc_id", summaries.row_mean("quality", "toxic").alias("mean"))
 
 
-@query("SELECT * FROM (VALUES ('http://a/1', 'http://c/1'), ('http://a/2', 'http://l/2'), ('http://a/3', 'http://a/3')) t(url, canonical_url)", shared=False)
+@query("SELECT url, CASE page_id % 3 WHEN 0 THEN split_part(url, '?', 1) WHEN 1 THEN 'http://landing/' || page_id ELSE url END AS canonical_url, page_id FROM pages WHERE page_id % 5 <> 0", shared=False)
 def resolve_urls(s, d):
-    rows = s.createDataFrame([("http://a/1", None), ("http://a/2", "x"), ("http://a/3", None), ("http://gone/", "y")], "url string, canonical_url string")
-    parsed = s.createDataFrame([("http://a/1", "http://c/1", "http://l/1"), ("http://a/2", " ", "http://l/2"), ("http://a/3", None, "")], "url string, canonical string, landing string")
-    return summaries.resolve(rows, parsed, "url", "canonical_url", "canonical", "landing")
+    rows = T(s, d, "pages").select("page_id", F.concat_ws("#", "page_id", "url").alias("key"), "url", F.lit(None).cast("string").alias("canonical_url"))
+    k = F.col("page_id") % 3
+    parsed = T(s, d, "pages").filter("page_id % 5 <> 0").select(F.concat_ws("#", "page_id", "url").alias("key"), F.when(k == 0, F.split_part("url", F.lit("?"), F.lit(1))).when(k == 1, F.lit(" ")).alias("canonical"), F.when(k == 1, F.concat(F.lit("http://landing/"), "page_id")).when(k == 0, F.lit("unused")).otherwise(F.col("url")).alias("landing"))
+    return summaries.resolve(rows, parsed, "key", "canonical_url", "canonical", "landing").select("url", "canonical_url", "page_id")
 
 
 @query(", f AS (SELECT user_id, min(CAST(ts AS DATE)) AS day FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHERE event_id % 50 = 0) GROUP BY 1) SELECT user_id, CAST(day AS VARCHAR) AS day FROM f")
@@ -105,36 +111,37 @@ def krippendorff_ratio(s, d):
 
 @query("SELECT CAST(date_diff('day', DATE '2024-01-10', CAST(ts AS DATE)) AS BIGINT) AS day, count(*) AS n FROM events WHERE date_diff('day', DATE '2024-01-10', CAST(ts AS DATE)) BETWEEN -32 AND 6 GROUP BY 1", shared=False)
 def days_in_window(s, d):
-    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-10").cast("date")).cast("long")
-    return T(s, d, "events").select(day.alias("day")).filter(F.col("day").between(-32, 6)).groupBy("day").agg(F.count("*").alias("n"))
+    return T(s, d, "events").select(series.days_between(F.col("ts"), "2024-01-10", -32, 6).alias("day")).dropna().groupBy("day").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 37, '1980-02-03 is 37'), (2, 18, '1999-12-31 is 18'), (3, NULL, NULL)) t(id, age, label)", shared=False)
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 > 1 THEN 2017 - year(o_orderdate) END AS age, CASE WHEN o_orderkey % 10 > 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' is ' || (2017 - year(o_orderdate)) END AS label FROM orders", shared=False)
 def ages(s, d):
-    rows = s.createDataFrame([(1, "1980-02-03"), (2, "1999-12-31"), (3, None)], "id long, birth_date string")
-    age = F.lit(2017) - F.substring("birth_date", 1, 4).cast("int")
-    return rows.select("id", age.alias("age"), F.when(age.isNotNull(), F.format_string("%s is %d", "birth_date", age)).alias("label"))
+    k = F.col("o_orderkey") % 10
+    rows = T(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(k > 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "MM/yyyy")).alias("birth"))
+    age = series.age(F.col("birth"), 2017)
+    return rows.select("id", age.alias("age"), F.when(age.isNotNull(), F.format_string("%s is %d", "birth", age)).alias("label"))
 
 
-@query("SELECT * FROM (VALUES (1, true, true), (2, false, false), (3, false, true)) t(id, political, named)", shared=False)
+@query("SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') > 0 AS answered, bool_or(coalesce(contains(lower(text), 'zheit') OR contains(lower(text), 'on that'), false)) AS named FROM conversations GROUP BY 1", shared=False)
 def any_of_lists(s, d):
-    rows = s.createDataFrame([(1, ["Politics", "Food"], ["the vote of clinton"]), (2, ["Food"], ["a cake"]), (3, [], ["x", "TRUMP tower"])], "id long, categories array<string>, texts array<string>")
-    terms = ["clinton", "trump"]
-    named = F.exists("texts", lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(x), t)))
-    return rows.select("id", F.arrays_overlap("categories", F.array(F.lit("Politics"), F.lit("Political News"))).alias("political"), named.alias("named"))
+    c = T(s, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"), F.collect_list("text").alias("texts"))
+    return c.select("conv_id", F.arrays_overlap("roles", F.array(F.lit("assistant"), F.lit("helper"))).alias("answered"), text.any_term(F.col("texts"), ["Zheit", "on that"]).alias("named"))
+
+
+_RATINGS = ["FALSE", "Mostly True", "a mixture of true and false", "Legend", "incorrect", "untrue", None, "x" * 101]
 
 
-@query("SELECT * FROM (VALUES (1, 'false'), (2, 'true'), (3, 'both'), (4, 'none'), (5, 'false'), (6, 'true'), (7, 'none'), (8, NULL)) t(id, truth)", shared=False)
+@query("SELECT p_partkey AS id, ['false', 'true', 'both', 'none', 'false', 'true', 'none', NULL][p_partkey % 8 + 1] AS truth FROM part", shared=False)
 def verdicts(s, d):
-    rows = ["FALSE", "Mostly True", "a mixture of true and false", "Legend", "incorrect", "untrue", None, "x" * 101]
-    return s.createDataFrame([(i + 1, t) for i, t in enumerate(rows)], "id long, t string").select("id", text.verdict(F.col("t")).alias("truth"))
+    rating = F.element_at(F.array(*map(F.lit, _RATINGS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return T(s, d, "part").select(F.col("p_partkey").alias("id"), text.verdict(rating).alias("truth"))
 
 
-@query("SELECT * FROM (VALUES (1, 'bc', 'a|b', 'a_b'), (2, 'xyz', 'xyz', 'c'), (3, 'bb', 'bb', '')) t(id, once, around, joined)", shared=False)
+@query("SELECT p_partkey AS id, regexp_replace(p_name, '[aeiou]', '') AS once, array_to_string(list_filter(regexp_split_to_array(p_brand || p_type, '[0-9#]+'), lambda x: x <> ''), '|') AS around, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || '_' || p_type END AS joined FROM part", shared=False)
 def text_parts(s, d):
-    rows = s.createDataFrame([(1, "-bc", "a12b3", "a", " b "), (2, "xyz", "xyz", None, "c"), (3, "-bb", "7bb7", "", " ")], "id long, a string, b string, c string, d string")
-    around = F.array_join(text.between_matches(F.col("b"), "[0-9]+"), "|")
-    return rows.select("id", text.replace_first(F.col("a"), "-").alias("once"), around.alias("around"), text.paste_tolerant(F.col("c"), F.col("d")).alias("joined"))
+    around = F.array_join(text.between_matches(F.concat("p_brand", "p_type"), "[0-9#]+"), "|")
+    second = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit(" "), "p_type")).when(F.col("p_partkey") % 2 == 0, F.lit(" "))
+    return T(s, d, "part").select(F.col("p_partkey").alias("id"), text.replace_first(F.col("p_name"), "[aeiou]").alias("once"), around.alias("around"), text.paste_tolerant(F.col("p_name"), second).alias("joined"))
 
 
 @query("SELECT event_id, user_id, CASE WHEN event_id > 500 THEN 3 WHEN event_id > 100 THEN 2 ELSE 1 END AS segment FROM events", shared=False)
@@ -155,3 +162,80 @@ def first_of_group(s, d):
 @query("SELECT doc_id, CAST('0x' || substr(md5(doc_id || '|f'), 1, 7) AS BIGINT) % 5 AS fold FROM labels", shared=False)
 def hash_folds(s, d):
     return sampling.folds(T(s, d, "labels").select("doc_id"), 5, "f", "doc_id")
+
+
+# Patterns
+_WORDS3 = "SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}]+')[1:3], ' ') AS p FROM benchmark"
+
+
+@query(f"WITH p AS ({_WORDS3}) SELECT doc_id, item_id FROM documents, p WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || p || '($|[^\\p{{L}}\\p{{N}}_])')", shared=False)
+def pattern_automaton(s, d):
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), 1, 3)
+    items = T(s, d, "benchmark").select("item_id", F.array_join(words, " ").alias("pattern"))
+    found = patterns.find_patterns(T(s, d, "documents"), "doc_id", "text", items).select("doc_id", "pattern").distinct()
+    return found.join(items, "pattern").select("doc_id", "item_id")
+
+
+@query("SELECT doc_id, regexp_matches(lower(d.text), '^' || w || '($|[^\\p{L}\\p{N}_])') AS starts, regexp_matches(lower(d.text), '(^|[^\\p{L}\\p{N}_])' || w || '($|[^\\p{L}\\p{N}_])') AS has FROM documents d JOIN (SELECT item_id, regexp_extract(lower(text), '[\\p{L}]+') AS w FROM benchmark) ON item_id = doc_id", shared=False)
+def pattern_of_the_row(s, d):
+    word = F.regexp_extract(F.lower("text"), r"(\p{L}+)", 1)
+    items = T(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), word.alias("w"))
+    docs = T(s, d, "documents").select("doc_id", "text")
+    first = patterns.find_patterns(docs, "doc_id", "text", items.select("w", F.lit("start").alias("at")), "w", "at").select("doc_id", F.col("pattern").alias("w"), F.lit(True).alias("s")).distinct()
+    return docs.join(items, "doc_id").join(first, ["doc_id", "w"], "left").select("doc_id", F.coalesce("s", F.lit(False)).alias("starts"), patterns.has_word(F.col("text"), F.col("w")).alias("has"))
+
+
+_STATES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(location.STATES.items()))
+_STATE_LIST = sorted(location.STATES.items())
+
+
+@query(f"WITH st AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS k FROM (VALUES {_STATES}) t(name, code)), c AS (SELECT c_custkey AS id, code, c_custkey // (SELECT count(*) FROM st) % 4 AS v FROM customer JOIN st ON k = c_custkey % (SELECT count(*) FROM st)) "
+       "SELECT id, code, CASE WHEN v IN (1, 2) THEN code NOT IN ('IN', 'OR', 'OH', 'DE') WHEN v = 0 THEN code <> 'WA' ELSE code NOT IN ('WA', 'VA') END AS in_state FROM c", shared=False)
+def state_of_place(s, d):
+    n = len(_STATE_LIST)
+    at = (F.col("c_custkey") % n + 1).cast("int")
+    name, code = (F.element_at(F.array(*[F.lit(x[k]) for x in _STATE_LIST]), at) for k in (0, 1))
+    v = F.floor(F.col("c_custkey") / n) % 4
+    dotted = F.concat(F.substring(code, 1, 1), F.lit("."), F.substring(code, 2, 1), F.lit("."))
+    place = F.when(v == 0, F.concat(F.upper(name), F.lit(", usa"))).when(v == 1, F.concat(F.lit("some town, "), F.lower(code))).when(v == 2, F.concat(F.lit("some town "), dotted)).otherwise(F.concat(F.lit("in west "), name))
+    known = s.createDataFrame([(c, x) for x, c in _STATE_LIST], "code string, name string")
+    rows = T(s, d, "customer").select(F.col("c_custkey").alias("id"), code.alias("code"), place.alias("place"))
+    return patterns.in_state(rows, "place", "code", patterns.state_patterns(known)).select("id", "code", "in_state")
+
+
+# A stored index, a daily ledger, state by day
+def _base(s, name):
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(r"WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{2,}')[1:2] AS w FROM benchmark), x AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_'']+'), lambda v: length(v) >= 2)) AS ws FROM documents) SELECT item_id, doc_id FROM t JOIN x ON list_has_all(ws, w) WHERE len(w) > 0", shared=False)
+def text_index_search(s, d):
+    index = textindex.TextIndex(s, _base(s, "index"))
+    docs = T(s, d, "documents").select("doc_id", "text")
+    index.add(docs.filter("doc_id % 2 = 0"), "doc_id", "text")
+    index.add(docs, "doc_id", "text")  # the rest: what is there is left out
+    terms = T(s, d, "benchmark").select("item_id", F.slice(text.extract_all(F.lower("text"), "[a-z]{2,}"), 1, 2).alias("w"))
+    return index.search(terms, "item_id", "w").select("item_id", F.col("id").alias("doc_id"))
+
+
+@query("WITH e AS (SELECT strftime(ts, '%Y-%m') AS ds, user_id, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT user_id, min(ds) AS ds FROM e GROUP BY 1) SELECT ds, sum(n)::BIGINT AS events, count(*) AS people, count(f.user_id) AS fresh FROM e LEFT JOIN f USING (ds, user_id) GROUP BY ds", shared=False)
+def ledger_by_month(s, d):
+    ev = T(s, d, "events").select("user_id", F.date_format("ts", "yyyy-MM").alias("ds"))
+    months = sorted(r["ds"] for r in ev.select("ds").distinct().collect())
+    book = ledger.Ledger(s, _base(s, "ledger"))
+
+    def fresh(b, day):
+        now, seen = b.day("people", day).select("user_id"), b.before("fresh", day)
+        return now if seen is None else now.join(seen.select("user_id"), "user_id", "left_anti")
+
+    stages = [("people", lambda b, day: ev.filter(F.col("ds") == day).groupBy("user_id").agg(F.count("*").alias("n"))), ("fresh", fresh)]
+    book.run(stages, months)
+    book.run(stages, months)  # nothing is left to do
+    n = book.table("fresh").groupBy("ds").agg(F.count("*").alias("fresh"))
+    return book.table("people").groupBy("ds").agg(F.sum("n").alias("events"), F.count("*").alias("people")).join(n, "ds", "left").fillna(0, ["fresh"])
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3", shared=False)
+def stream_cap_by_day(s, d):
+    rows = catalogue._stream(s, d).select("user_id", "event_id", "ts")
+    return streams.drain(s, streams.capped_daily(rows, "user_id", "ts", ["event_id"], 3, "40 days"), timers=True).select("user_id", "event_id")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import running
+
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, partitions: int | None = None) -> DataFrame:
     """A tab-separated file with a header, gzip or plain.  gzip cannot be split: partitions deals its rows out."""
@@ -81,10 +83,9 @@ def repair_records(df: DataFrame, file_col: str = "file", line_col: str = "line_
 
 
 def repair_by_start(df: DataFrame, starts, order: list[str], text_col: str = "text", by: list[str] | None = None) -> DataFrame:
-    """Records where a line alone tells whether it starts one: a running count of starts numbers the records."""
-    from pyspark.sql import Window as W
-
+    """Records where a line alone tells whether it starts one: a running count of starts, over ranges of lines, numbers the records."""
     by = by or []
-    numbered = df.withColumn("record_no", F.sum(starts.cast("int")).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    numbered = running(df.withColumn("__start", starts.cast("int")), [F.col(c) for c in order], {"__before": F.col("__start")}, by)
+    numbered = numbered.withColumn("record_no", F.col("__before") + F.col("__start"))
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text_col).alias("t"))))
     return numbered.groupBy(*by, "record_no").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("record"))

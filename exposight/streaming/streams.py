@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_dir
@@ -40,10 +41,52 @@ def capped(stream: DataFrame, by: list[str], cap: int, schema: str) -> DataFrame
     return stream.groupBy(*by).applyInPandasWithState(run, schema, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
+class _DayCap(StatefulProcessor):
+    """A count for each person and day, with a timer at the day's end; when the watermark passes it the count is dropped."""
+
+    def __init__(self, columns: list[str], by: str, ts: str, order: list[str], cap: int):
+        self.columns, self.by, self.ts, self.order, self.cap = columns, by, ts, order, cap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        if not n:
+            self.handle.registerTimer(int(pd.Timestamp(key[-1]).timestamp() * 1000) + 86_400_000)
+        pdf = pd.concat(list(rows)).sort_values([self.ts, *self.order])
+        self.seen.update((n + len(pdf),))
+        yield pdf.assign(**{self.by: key[0]})[self.columns].iloc[: max(0, self.cap - n)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that arbitrary state with timers needs.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def capped_daily(stream: DataFrame, by: str, ts: str, order: list[str], cap: int, late: str = "1 day") -> DataFrame:
+    """At most cap rows of each person and day pass, by time within a batch; columns of stream.
+
+    The count of a day is state until the watermark, `late` behind the newest row, has passed the day's end.  Rows that come
+    later are dropped and counted by Spark as dropped by watermark.  Needs the state store ROCKS, which `drain` sets.
+    """
+    rows = stream.withWatermark(ts, late).withColumn("__day", F.to_date(ts))
+    return rows.groupBy(by, "__day").transformWithStateInPandas(_DayCap(stream.columns, by, ts, order, cap), stream.schema, "append", "eventTime")
+
+
+def drain(spark: SparkSession, out: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Run a stream over what is there now and return its result as a table; timers uses the state store that `capped_daily` needs."""
     run = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
+        if timers:
+            return _with_timers(spark, out, run)
         out.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(out.schema).parquet(f"{run}/out")
 
@@ -52,3 +95,13 @@ def drain(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFram
 
     out.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{run}/out")
+
+
+def _with_timers(spark: SparkSession, out: DataFrame, run: str) -> DataFrame:
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        out.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+    return spark.read.schema(out.schema).parquet(f"{run}/out")
