@@ -41,6 +41,8 @@ MARKS = set(
     "subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs comment comments disqus respond replies reply nav navbar navigation menu sidebar "
     "footer header masthead toolbar pagination pager widget widgets skip complementary contentinfo search dialog".split()
 )
+#: Words that only say where or how something stands; with them a name of MARKS still names furniture.
+LAYOUT = set("bar box block inner outer wrapper wrap container content section area slot unit item items list row col column grid panel card link links button buttons icon icons form text title heading top bottom left right main primary secondary inline site page post posts article articles story stories news more view".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body", "td", "th", "blockquote"}
 #: Roles of a slot.
@@ -75,8 +77,19 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
 
 
-def _furniture(name: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element is furniture, and the part of its path that its attributes give."""
+def _names_furniture(value: str) -> bool:
+    """Whether one of the class names or ids is of furniture as a whole: "ad", "share-buttons"; not "related-work"."""
+    for one in value.split():
+        parts = [w for w in re.split(r"[^a-z0-9]+", one) if w]
+        if any(w in MARKS and w not in ("header", "masthead") for w in parts) and all(w in MARKS or w in LAYOUT for w in parts):
+            return True
+    return False
+
+
+def _furniture(name: str, attrs: str, article: bool = False) -> tuple[bool, str]:
+    """Whether an element is furniture, and the part of its path that its attributes give.
+
+    Within an article a name counts only as a whole, and a header is the article's own."""
     sign = ""
     if attrs and not attrs.isspace():
         hidden = False
@@ -86,10 +99,14 @@ def _furniture(name: str, attrs: str) -> tuple[bool, str]:
                 sign += f" {value}"
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")
         if name not in ("html", "body", "article", "main") or "comment" in sign:
+            if article:
+                if hidden or _names_furniture(sign):
+                    return True, sign
+                return name in FURNITURE and name != "header", sign
             words = re.split(r"[^a-z0-9]+", sign)
             if hidden or any(w in MARKS and (not k or words[k - 1] not in ("has", "with", "no")) for k, w in enumerate(words)):
                 return True, sign
-    return name in FURNITURE, sign
+    return name in FURNITURE and not (article and name == "header"), sign
 
 
 def _tags(source: str) -> Iterator[tuple[int, str, str, str, int]]:
@@ -204,8 +221,8 @@ def parse(source: str | None) -> Page:
                                 break
                 elif name == "a" and opened["a"] and stack[-1].name == "a":
                     close(len(stack) - 1)
-                chrome, sign = _furniture(name, attrs)
                 top = stack[-1]
+                chrome, sign = _furniture(name, attrs, top.role == MAIN)
                 opened[name] += 1
                 if name in INLINE:
                     stack.append(Node(name, top.path, CHROME if chrome else top.role, top.at))

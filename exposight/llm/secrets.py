@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,18 +87,27 @@ def scanner(classes=CLASSES, candidate: str = CANDIDATE, allowed=ALLOWED):
         spans = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-        base = list(spans)
+        starts = sorted(spans, key=lambda s: s[1])
+        reach = list(accumulate((s[2] for s in starts), max))  # the furthest end of the spans up to each start
+        starts = [s[1] for s in starts]
+
+        def covered(a: int, b: int) -> bool:
+            """Whether one of the fixed patterns' spans holds all of a to b."""
+            k = bisect_right(starts, a)
+            return k > 0 and reach[k - 1] >= b
+
         for m in find.finditer(text):
             around = text[max(0, m.start() - 12) : m.end()]
             if any(p.search(around) for p in allow):
                 continue
-            own: list[tuple[str, int, int]] = []
+            own: list[tuple[int, int, str]] = []  # by start; none overlap
             for c, run in runs:
                 for r in run.finditer(m[0]):
                     for a, b in entropy_spans(text, m.start() + r.start(), r[0], c.window, c.bits, c.mixed):
-                        if not any(a < y and x < b for _, x, y in own) and not any(x <= a and b <= y for _, x, y in base):
-                            own.append((c.kind, a, b))
-            spans += own
+                        before = bisect_left(own, (b,)) - 1
+                        if not (before >= 0 and own[before][1] > a) and not covered(a, b):
+                            insort(own, (a, b, c.kind))
+            spans += [(kind, a, b) for a, b, kind in own]
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[2]))
 
     return scan

@@ -424,3 +424,94 @@ def test_license_families_held_out(spark):
     got = {r["doc_id"]: r["family"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
     right = sum(got.get(i, "none") == f for i, f in want.items())
     assert right >= 0.9 * len(want) and sum(want[i] == "none" for i in got) <= 2
+
+
+def base_by_hand(text):
+    """Spans of the fixed patterns, each character looked at in turn."""
+    out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    values = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def tails(i):
+        """Ends of a name from i on, the longest alternative first in the pattern's order."""
+        for w in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(w, i):
+                yield i + len(w)
+
+    def assign(i):
+        for j in tails(i):
+            for quote in (1, 0):
+                k = j + quote
+                if quote and text[j : j + 1] not in ('"', "'"):
+                    continue
+                while text[k : k + 1] == " ":
+                    k += 1
+                if text[k : k + 1] not in (":", "=") or not text[k : k + 1]:
+                    continue
+                k += 1
+                while text[k : k + 1] == " ":
+                    k += 1
+                for q in (1, 0):
+                    n = k + q
+                    if q and text[k : k + 1] not in ('"', "'") or q and not text[k : k + 1]:
+                        continue
+                    end = n
+                    while end < len(text) and text[end] in values:
+                        end += 1
+                    if end > n:
+                        return n, end
+        return None
+
+    i = 0
+    while i < len(text):
+        if found := assign(i):
+            if found[1] - found[0] >= 6:
+                out.append(("assign", i, found[1]))
+            i = found[1]
+        else:
+            i += 1
+    for kind, head, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), ("hex", "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            if text.startswith(head, i):
+                end = i + len(head)
+                while end < len(text) and text[end] in chars:
+                    end += 1
+                if end > i + len(head):
+                    if end - i >= least:
+                        out.append((kind, i, end))
+                    i = end
+                    continue
+            i += 1
+    order = ("assign", "access", "hex")
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def test_secret_base_by_hand():
+    rng = np.random.default_rng(4)
+    bits = ["password", "Passwd", "token", "api_key", "APIKEY", "secret", ":", "=", " ", '"', "'", "abc123", "hunter22", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "ffff0000", "é", "\n", "x", "."]
+    scan = secrets.scanner()
+    for _ in range(1500):
+        text = "".join(rng.choice(bits, rng.integers(0, 14)))
+        assert [s for s in scan(text) if s[0] in ("assign", "access", "hex")] == base_by_hand(text), repr(text)
+
+
+def test_secret_time_is_linear():
+    import time
+
+    rng = np.random.default_rng(5)
+    word = lambda: "token=" + "".join(rng.choice(list("abcdef0123456789XYZ"), 30))
+    text, took = " ".join(word() for _ in range(3000)), []
+    for t in (text, " ".join([text] * 4)):
+        begin = time.process_time()
+        secrets.scanner()(t)
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.1
+
+
+def test_article_keeps_what_only_sounds_like_furniture():
+    inner = (
+        '<header><h1>Title</h1></header><h2 id="related-work">A</h2><section class="search-trees">B</section><p class="social-history">C</p><div class="share-price">D</div>'
+        '<div class="share-buttons">X</div><div class="ad">X</div><section id="comments-section">X</section><aside>X</aside><div class="ad-slot top">X</div><nav>X</nav><div hidden>X</div><p>E</p>'
+    )
+    page = html_text.parse(f"<body><div class=banner>X</div><article>{inner}</article><footer>X</footer></body>")
+    assert html_text.main_text(page, 0, frozenset(), frozenset()) == "Title A B C D E"
