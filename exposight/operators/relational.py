@@ -36,6 +36,32 @@ def map_values(column: str, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[F.col(column)], F.col(column))
 
 
+def recode(value: Column, mapping: dict[str, str], default: str) -> Column:
+    """Values by a map, all others (and null) the default."""
+    out = F.lit(default)
+    for old, new in mapping.items():
+        out = F.when(value == old, new).otherwise(out)
+    return out
+
+
+def answered(df: DataFrame, answer: str, unsure: list[str], positive: list[str], name: str) -> DataFrame:
+    """Rows with an answer that is not one of `unsure`, and whether it is one of `positive`."""
+    return df.filter(F.col(answer).isNotNull() & ~F.col(answer).isin(unsure)).withColumn(name, F.col(answer).isin(positive))
+
+
+def short_names(df: DataFrame, pattern: str) -> DataFrame:
+    """Columns renamed without what the pattern matches; names that would meet keep theirs."""
+    import re
+
+    new = [re.sub(pattern, "", c) for c in df.columns]
+    return df.toDF(*[n if n and new.count(n) == 1 else c for c, n in zip(df.columns, new)])
+
+
+def as_flag(value: Column, letters: str = "YN") -> Column:
+    """A yes letter as true, a no letter as false, anything else null."""
+    return F.translate(value, letters, "TF").try_cast("boolean")
+
+
 def occurs_once(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key no other row has."""
     once = df.groupBy(key).agg(F.count("*").alias("__n")).filter("__n = 1").select(key)
@@ -63,14 +89,18 @@ def people_partition(everyone: DataFrame, a: DataFrame, b: DataFrame, c: DataFra
 def closest_preceding(shares: DataFrame, exposures: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Exposures, each with the share it is the nearest earlier exposure of.
 
-    For each share only the exposures of least positive distance stay (ties all); exposures nobody shared later stay
-    with a null share; exposures that only come after shares are dropped.
+    For each share only the exposures of least positive distance stay (ties all); exposures whose keys nobody shared stay
+    with a null share; others are dropped.  Each share looks back along its keys' line of times for the last exposure
+    before it, so no share meets all exposures of its keys.
     """
     s = shares.select(*keys, F.col(ts).alias("ts_share"))
-    both = exposures.join(s, keys, "left").withColumn("ts_diff", micros(F.col("ts_share")) - micros(F.col(ts)))
-    near = both.filter("ts_share is null or ts_diff > 0")
-    least = F.min("ts_diff").over(W.partitionBy(*keys, "ts_share"))
-    return near.withColumn("__least", least).filter("ts_share is null or ts_diff = __least").drop("__least")
+    line = s.select(*keys, F.col("ts_share").alias("__at"), F.lit(None).cast(dict(exposures.dtypes)[ts]).alias(ts)).unionByName(exposures.select(*keys, F.col(ts).alias("__at"), ts))
+    before = W.partitionBy(*keys).orderBy("__at", F.col(ts).isNotNull()).rowsBetween(W.unboundedPreceding, 0)  # of equal times shares come first
+    nearest = line.withColumn("__last", F.last(ts, ignorenulls=True).over(before)).filter(F.col(ts).isNull() & F.col("__last").isNotNull() & F.col("__at").isNotNull())
+    nearest = nearest.select(*keys, F.col("__last").alias(ts), F.col("__at").alias("ts_share"))
+    met = exposures.join(nearest, [*keys, ts]).withColumn("ts_diff", micros(F.col("ts_share")) - micros(F.col(ts)))
+    lone = exposures.join(s.select(*keys).distinct(), keys, "left_anti").withColumn("ts_share", F.lit(None).cast(dict(s.dtypes)["ts_share"])).withColumn("ts_diff", F.lit(None).cast("long"))
+    return met.unionByName(lone)
 
 
 def pair_counts(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -65,3 +65,19 @@ def cap_trials(posts: DataFrame, person: list[str], fake: Column, caps: list[int
     wide = ranked.groupBy("trial").agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).cast("long").alias("cap"), F.col(f"fake_{c}").alias("kept_fake"), F.col(f"other_{c}").alias("kept_other")) for c in caps])
     return wide.select(F.col("trial").cast("long").alias("trial"), F.explode(rows).alias("r")).select("trial", "r.*")
+
+
+def restored(trials: DataFrame, totals: DataFrame, by: list[str], kept: list[str], times: int = 1000) -> DataFrame:
+    """(by, and for each kept column c: c_share, c_lo, c_hi): the mean over trials as a share of the original total, with a 95 % bootstrap interval.
+
+    totals has one row with a column of the same name for each kept column.
+    """
+    from .stats import bootstrap_mean
+
+    out = None
+    total = totals.first()
+    for c in kept:
+        ci = bootstrap_mean(trials, c, by, times)
+        part = ci.select(*by, *[(F.col(x) / F.nullif(F.lit(float(total[c])), F.lit(0.0))).alias(f"{c}_{n}") for x, n in (("mean", "share"), ("lo", "lo"), ("hi", "hi"))])
+        out = part if out is None else out.join(part, by)
+    return out

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import location, text
-from ..operators import patterns, ranking, sampling, series, stats, summaries
+from ..functions import articles, location, text
+from ..operators import patterns, ranking, relational, sampling, series, stats, summaries
 from ..session import shared_dir
 from ..sources import ledger, roles, textindex
 from ..streaming import streams
@@ -239,3 +239,50 @@ def ledger_by_month(s, d):
 def stream_cap_by_day(s, d):
     rows = catalogue._stream(s, d).select("user_id", "event_id", "ts")
     return streams.drain(s, streams.capped_daily(rows, "user_id", "ts", ["event_id"], 3, "40 days"), timers=True).select("user_id", "event_id")
+
+
+# Lists, answers, flags, restored shares, articles
+@query("SELECT s_suppkey AS website, lower(s_name) AS domain, CASE s_suppkey % 4 WHEN 0 THEN 'Satire' WHEN 1 THEN 'Orange' ELSE 'Black' END AS color FROM supplier", shared=False)
+def list_recode(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ["Parody site", "Some fake stories", "Fake news", None])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return T(s, d, "supplier").select(F.col("s_suppkey").alias("website"), F.lower("s_name").alias("domain"), relational.recode(kind, {"Parody site": "Satire", "Some fake stories": "Orange"}, "Black").alias("color"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_urgent FROM orders WHERE o_orderpriority <> '5-LOW'", shared=False)
+def annotation_labels(s, d):
+    return relational.answered(T(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"), "o_orderpriority", ["5-LOW"], ["1-URGENT", "2-HIGH"], "is_urgent").drop("o_orderpriority")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, CASE l_returnflag WHEN 'N' THEN false WHEN 'R' THEN true END AS flag FROM lineitem", shared=False)
+def flags_and_names(s, d):
+    rows = relational.short_names(T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "^l_")
+    return rows.select("orderkey", "linenumber", relational.as_flag(F.col("returnflag"), "RN").alias("flag"))
+
+
+@query(", t AS (SELECT *, row_number() OVER (PARTITION BY trial, user_id, CAST(ts AS DATE) ORDER BY md5(event_id || '|' || trial), event_id) AS r FROM ev, range(1, 21) x(trial) WHERE kind = 'share'), c AS (SELECT *, unnest([1, 2, 5]) AS cap FROM t), k AS (SELECT trial, cap, count(*) FILTER (WHERE r <= cap AND url < 3) AS f, count(*) FILTER (WHERE r <= cap AND url >= 3) AS o FROM c GROUP BY ALL) "
+       "SELECT CAST(cap AS BIGINT) AS cap, round(avg(f) / (SELECT count(*) FROM ev WHERE kind = 'share' AND url < 3), 6) AS kept_fake_share, round(avg(o) / (SELECT count(*) FROM ev WHERE kind = 'share' AND url >= 3), 6) AS kept_other_share FROM k GROUP BY 1")
+def restored_shares(s, d):
+    e = roles.event_views(s, d).filter("kind = 'share'").withColumn("day", F.to_date("ts"))
+    totals = e.agg(F.count_if(F.col("url") < 3).alias("kept_fake"), F.count_if(F.col("url") >= 3).alias("kept_other"))
+    out = sampling.restored(sampling.cap_trials(e, ["user_id", "day"], F.col("url") < 3, [1, 2, 5], 20, "event_id"), totals, ["cap"], ["kept_fake", "kept_other"], 100)
+    return out.select("cap", r6("kept_fake_share", "kept_fake_share"), r6("kept_other_share", "kept_other_share"))
+
+
+_VERDICTS = ["FALSE", "Mostly True", "Legend"]
+
+
+@query("SELECT page_id, CASE WHEN page_id % 6 < 5 THEN 'about ' || url END AS claim, CASE WHEN page_id % 6 < 5 THEN ['FALSE', 'Mostly True', 'Legend'][page_id % 3 + 1] END AS result, CASE WHEN page_id % 6 < 5 THEN 'ok' ELSE 'no_result' END AS parse_result, CASE WHEN page_id % 2 = 0 THEN 'Home|Politics' ELSE '' END AS categories FROM pages", shared=False)
+def article_claims(s, d):
+    """The given pages' addresses as claims, set in the forms that such articles take."""
+    k, verdict = F.col("page_id") % 6, F.element_at(F.array(*map(F.lit, _VERDICTS)), (F.col("page_id") % 3 + 1).cast("int"))
+    claim = F.concat(F.lit("about "), F.replace("url", F.lit("&"), F.lit("&amp;")))
+    forms = [
+        F.concat(F.lit('<p itemprop="claimReviewed"> '), claim, F.lit(' </p><div class="box claim">'), verdict, F.lit("</div>")), F.concat(F.lit("<p><span>Claim</span>: "), claim, F.lit("</p><p>"), verdict, F.lit("</p>")),
+        F.concat(F.lit('<p><span>Claim:</span> '), claim, F.lit('</p><div class="claim-old">'), verdict, F.lit("</div><p>x</p>")), F.concat(F.lit("<p><strong>Claim:</strong> "), claim, F.lit("<p>"), verdict),
+        F.concat(F.lit("<p><font>Claim:</font> "), claim, F.lit("</p><p>Status: "), verdict, F.lit("</p>")), F.concat(F.lit("<p>"), claim, F.lit("</p>")),
+    ]
+    body = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    trail = F.when(F.col("page_id") % 2 == 0, '<div class="breadcrumb-nav"><a href="/">Home</a><a href="/p">Politics</a></div>').otherwise("")
+    html = T(s, d, "pages").select("page_id", F.concat(F.lit("<html><body>"), trail, F.lit("<article>"), body, F.lit("</article></body></html>")).alias("html"))
+    found = articles.articles(html, "page_id", "html")
+    return found.select("page_id", "claim", "result", "parse_result", F.array_join("categories", "|").alias("categories"))
