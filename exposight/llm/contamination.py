@@ -25,23 +25,28 @@ _MASK = np.uint64((1 << 20) - 1)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
-    """Best local alignment of two word sequences: score, and the words of text it covers (end exclusive)."""
-    place = np.arange(len(text) + 1) * -GAP
-    table = np.zeros((len(item) + 1, len(text) + 1))
-    for i, w in enumerate(item):
-        row = np.maximum(0, table[i] + GAP)
-        row[1:] = np.maximum(row[1:], table[i, :-1] + np.where(text == w, MATCH, MISMATCH))
-        table[i + 1] = np.maximum(row, np.maximum.accumulate(row + place) - place)
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    best, end = float(table[i, j]), int(j)
-    while i and j and table[i, j] > 0:
-        if np.isclose(table[i, j], table[i - 1, j - 1] + (MATCH if item[i - 1] == text[j - 1] else MISMATCH)):
-            i, j = i - 1, j - 1
-        elif np.isclose(table[i, j], table[i - 1, j] + GAP):
-            i -= 1
-        else:
-            j -= 1
-    return best, int(j), end
+    """Best local alignment of two word sequences: score, and the words of text it covers (end exclusive).
+
+    One row of the table at a time, and with each cell the place where its alignment begins: memory grows with the text alone.
+    """
+    places = np.arange(len(text) + 1)
+    slope = places * -GAP
+    above, begins = np.zeros(len(text) + 1), places
+    best, start, end = 0.0, 0, 0
+    for w in item:
+        row, begin = above + GAP, begins.copy()
+        diagonal = above[:-1] + np.where(text == w, MATCH, MISMATCH)
+        row[1:] = np.maximum(row[1:], diagonal)
+        begin[1:] = np.where(diagonal >= row[1:], begins[:-1], begin[1:])
+        fresh = row <= 0
+        row[fresh], begin[fresh] = 0.0, places[fresh]
+        raised = row + slope  # a cell's best way from the left: a running maximum
+        highest = np.maximum.accumulate(raised)
+        above, begins = highest - slope, begin[np.maximum.accumulate(np.where(raised >= highest, places, 0))]
+        k = int(above.argmax())
+        if above[k] > best:
+            best, start, end = float(above[k]), int(begins[k]), k
+    return best, start, end
 
 
 def most(item: np.ndarray, text: np.ndarray) -> float:

@@ -515,3 +515,52 @@ def test_article_keeps_what_only_sounds_like_furniture():
     )
     page = html_text.parse(f"<body><div class=banner>X</div><article>{inner}</article><footer>X</footer></body>")
     assert html_text.main_text(page, 0, frozenset(), frozenset()) == "Title A B C D E"
+
+
+def table_alignment(item, text):
+    """The whole table, and the way back through it: diagonal before up before left."""
+    t = np.zeros((len(item) + 1, len(text) + 1))
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            t[i, j] = max(0, t[i - 1, j - 1] + (1 if item[i - 1] == text[j - 1] else -0.5), t[i - 1, j] - 0.5, t[i, j - 1] - 0.5)
+    i, j = np.unravel_index(int(t.argmax()), t.shape)
+    best, end = float(t[i, j]), int(j)
+    while t[i, j] > 0:
+        if t[i, j] == t[i - 1, j - 1] + (1 if item[i - 1] == text[j - 1] else -0.5):
+            i, j = i - 1, j - 1
+        elif t[i, j] == t[i - 1, j] - 0.5:
+            i -= 1
+        else:
+            j -= 1
+    return best, int(j), end
+
+
+def test_alignment_equals_the_whole_table():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        v = rng.integers(2, 9)
+        item, text = rng.integers(0, v, rng.integers(0, 10)), rng.integers(0, v, rng.integers(0, 22))
+        want, got = table_alignment(item, text), contamination.align(item, text)
+        assert got[0] == want[0] and (want[0] == 0 or got == want)
+
+
+def test_alignment_of_a_long_item_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    item = rng.integers(0, 50_000, 4000).astype(np.uint64)
+    text = np.concatenate([rng.integers(0, 50_000, 3000).astype(np.uint64), item, item[:500]])
+    tracemalloc.start()
+    assert contamination.align(item, text) == (4000.0, 3000, 7000)
+    assert tracemalloc.get_traced_memory()[1] < 4e6
+    tracemalloc.stop()
+
+
+def test_toxicity_without_an_id_is_not_held_out(spark, tmp_path):
+    from exposight.llm import queries
+
+    rows = [(i, t) for i, t in [(1, "you idiot"), (2, "fine day"), (3, "idiot moron"), (4, "good words"), (None, "no id")]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, 1), (4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op7_toxicity(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 5 and all(r.held_out is not None and r.score is not None for r in got) and not next(r for r in got if r.doc_id is None).held_out
