@@ -103,13 +103,17 @@ def closest_preceding(shares: DataFrame, exposures: DataFrame, keys: list[str],
     return met.unionByName(lone)
 
 
-def pair_counts(df: DataFrame, left: str, right: str) -> DataFrame:
+def pair_counts(df: DataFrame, left: str, right: str, per: int = 2000) -> DataFrame:
     """(i, j, x): how many `left` two `right` values share; both orders and the diagonal.
 
-    Pairs are made within one `left`, in one order only; the other order is added to the counts.
+    Pairs are made within one `left`, in one order only; the other order is added to the counts.  A `left` of many values is
+    dealt to parts of about `per`, each of which meets all its values, so that its square is no task's alone.
     """
-    d = df.select(left, right).distinct()
-    half = d.select(left, F.col(right).alias("i")).join(d.select(left, F.col(right).alias("j")), left).filter("i <= j").groupBy("i", "j").agg(F.count("*").alias("x"))
+    d = df.select(left, right).distinct().withColumn("__n", F.count("*").over(W.partitionBy(left)))
+    parts = F.ceil(F.col("__n") / per).cast("int")
+    one = d.select(left, F.col(right).alias("i"), F.pmod(F.hash(right), parts).alias("__part"))
+    two = d.select(left, F.col(right).alias("j"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    half = one.join(two, [left, "__part"]).filter("i <= j").groupBy("i", "j").agg(F.count("*").alias("x"))
     there, back = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
     return half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))).alias("p"), "x").select("p.i", "p.j", "x")
 

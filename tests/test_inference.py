@@ -45,6 +45,17 @@ def test_gini_ties_nulls_zeros(spark):
     assert padded["a"] == pytest.approx(plain([1, 1, 4], 10))
 
 
+@pytest.mark.parametrize("per", [2000, 3])
+def test_pair_counts_of_busy_people(spark, per):
+    from collections import Counter
+    from exposight.operators.relational import pair_counts
+
+    rows = [("busy", k) for k in range(20)] + [("a", 3), ("a", 4), ("a", 4), ("b", 4)]
+    want = Counter((i, j) for p in {p for p, _ in rows} for i in {s for q, s in rows if q == p} for j in {s for q, s in rows if q == p})
+    got = pair_counts(spark.createDataFrame(rows, "p string, s long"), "p", "s", per).collect()
+    assert {(r.i, r.j): r.x for r in got} == dict(want) and len(got) == len(want)
+
+
 # Communities
 def q_of(edges, of):
     total = 2 * sum(w for *_, w in edges)
