@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Every n-gram of an item is a seed: an edited copy may keep only those that are common elsewhere, so none is left out
-for its count.  Around seeds the text is aligned only where the item's words found there allow the
+Every n-gram of an item is a seed, and so are n words with one word between two of them, in the item or in the text: an
+edited copy may keep only such ones, or only those that are common elsewhere, so none is left out for its count.  An alignment of m
+matched words with fewer than m - 2 edits between them has three matches in a row with one edit at most, which is a
+seed; with matches of 1 and edits of -0.5 a score of 0.5 leaves more edits only where words are put in after nearly every word.  Around seeds the text is aligned only where the item's words found there allow the
 score.  Documents are read once and their texts never shuffled; the benchmark comes to them, in blocks of bounded size.
 """
 
@@ -55,6 +57,24 @@ def most(item: np.ndarray, text: np.ndarray) -> float:
     return float((total - np.minimum.accumulate(np.append(0, total[:-1]))).max(initial=0))
 
 
+def shapes(n: int) -> list[tuple[int, ...]]:
+    """Places of n words in a row, and with one word left out between two of them."""
+    return [tuple(range(n)), *[tuple(k + (k >= gap) for k in range(n)) for gap in range(1, n)]]
+
+
+def spaced(hashes: np.ndarray, bounds: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words at these places from each word on, and their bounds by row; equal words in any shape have equal hashes."""
+    size = np.maximum(np.diff(bounds) - shape[-1], 0)
+    out = np.concatenate(([0], np.cumsum(size)))
+    if len(hashes) <= shape[-1]:
+        return np.zeros(0, np.uint64), out
+    last = len(hashes) - shape[-1]
+    h = np.zeros(last, np.uint64)
+    for k in shape:
+        h = _words.mix(h + hashes[k : k + last])
+    return h[np.repeat(bounds[:-1] - out[:-1], size) + np.arange(out[-1])], out
+
+
 class Items:
     """A block of test items: their words, and their n-grams (shorter items: the whole item)."""
 
@@ -66,8 +86,9 @@ class Items:
                 self.words.append(chunk.hashes[chunk.bounds[k] : chunk.bounds[k + 1]].copy())
         for k, w in enumerate(self.words):
             size = min(n, len(w))
-            for place, g in enumerate(_words.ngrams(w, np.array([0, len(w)]), size)[0] if size else ()):
-                grams[size][int(g)].append((k, place))
+            for shape in shapes(size) if size else ():
+                for place, g in enumerate(spaced(w, np.array([0, len(w)]), shape)[0]):
+                    grams[size][int(g)].append((k, place))
         self.grams = {s: dict(g) for s, g in grams.items()}
 
     def lookups(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -96,12 +117,12 @@ def _find(shared, least: float, names: list[str], leaks: str, kind: pa.DataType)
             out: list[list[dict]] = [[] for _ in range(len(batch))]
             for chunk in _words.words(batch.column("__text")):
                 seeds: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for size, (keys, bits) in lookups.items():
-                    hashes, bounds = chunk.ngrams(size)
+                for shape, (keys, bits) in ((x, found) for size, found in lookups.items() for x in shapes(size)):
+                    hashes, bounds = spaced(chunk.hashes, chunk.bounds, shape)
                     at = _hits(hashes, keys, bits)
                     rows = np.searchsorted(bounds, at, "right") - 1
                     for r, p, h in zip(rows.tolist(), (at - bounds[rows]).tolist(), hashes[at].tolist()):
-                        for k, place in items.grams[size][h]:
+                        for k, place in items.grams[len(shape)][h]:
                             seeds[r, k].append(p - place)
                 for (r, k), starts in seeds.items():
                     item, doc = items.words[k], chunk.hashes[chunk.bounds[r] : chunk.bounds[r + 1]]

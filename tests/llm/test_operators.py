@@ -564,3 +564,39 @@ def test_toxicity_without_an_id_is_not_held_out(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, 1), (4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = queries.op7_toxicity(spark, f"file://{tmp_path}").collect()
     assert len(got) == 5 and all(r.held_out is not None and r.score is not None for r in got) and not next(r for r in got if r.doc_id is None).held_out
+
+
+def test_leaks_that_keep_no_three_words_in_a_row(spark):
+    """Every third word replaced, a word put in after every second, every fourth left out: scores of 0.5 and up."""
+    words = [f"w{k}" for k in range(42)]
+    edits = {1: [w if k % 3 != 2 else f"x{k}" for k, w in enumerate(words)], 2: [y for k, w in enumerate(words) for y in ([w, f"y{k}"] if k % 2 else [w])], 3: [w for k, w in enumerate(words) if k % 4 != 3], 4: [f"z{k}" for k in range(42)]}
+    rows = [(i, "some words before " + " ".join(t) + " and after") for i, t in edits.items()]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: [x.score for x in r.leaks] for r in contamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {i: [contamination.align(np.array(words), np.array(t.split()))[0] / 42] if i < 4 else [] for i, t in rows} and min(got[i][0] for i in (1, 2, 3)) >= 0.5
+
+
+def test_every_alignment_over_the_limit_is_found(spark):
+    """All pairs by plain Smith-Waterman against what the seeds lead to."""
+    rng = np.random.default_rng(12)
+    items = [[f"a{x}" for x in rng.integers(0, 60, n)] for n in (1, 2, 3, 5, 9, 14, 20, 30, 40, 40)]
+    texts = []
+    for k in range(160):
+        w, rate = items[k % len(items)], rng.uniform(0, 0.4)
+        out: list[str] = []
+        for x in w:
+            r = rng.random()
+            out += [x] if r > rate else [f"a{rng.integers(0, 60)}"] if r < 0.5 * rate else [x, "b"] if r < 0.75 * rate else []
+        texts.append((k, " ".join([f"a{x}" for x in rng.integers(0, 60, 12)] + out + [f"c{x}" for x in range(5)])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, x.item_id): x.score for r in contamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect() for x in r.leaks}
+    want = {}
+    for k, t in texts:
+        for i, w in enumerate(items):
+            score = contamination.align(np.array(w), np.array(t.split()))[0] / len(w)
+            if score >= 0.5 and len(w) >= 3:
+                want[k, i] = score
+    found = {p: s for p, s in got.items() if len(items[p[1]]) >= 3}
+    assert set(found) <= set(want) and all(found[p] == want[p] for p in found)
+    long = {p for p in want if len(items[p[1]]) >= 14}
+    assert long <= set(found) and len(long) > 60
