@@ -11,12 +11,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from . import cutting_stock
 from ._spark import materialize, tidy
 
 #: A task's share of text that goes through Python at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 _SPACE = r" \t\n\v\f\r"
 #: Characters on which all Unicode tables agree and that no normalisation changes: Latin letters in one code point and common signs.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ſ–—‘-„…]")
@@ -36,7 +37,7 @@ _BYTE_CHARS = [b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else 0 for b i
 class Pieces(dict):
     """Ids of a word as bytes, looked up or made by the model and remembered; at most `most` words are kept."""
 
-    def __init__(self, model, most: int = 400_000):
+    def __init__(self, model, most: int = 150_000):
         super().__init__()
         self.model, self.most = model, most
         spare = iter(range(256, 512))
@@ -69,16 +70,15 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
 
     made = Tokenizer.from_file(tokenizer)
     whole = lambda text: np.array(made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    part = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+    steps = [x.get("type") for x in part(made.normalizer).get("normalizers", [])]
+    split = part(made.pre_tokenizer).get("pretokenizers", [])
     by_word = (
         steps == ["NFC", "Replace", "Lowercase"]
         and [x["type"] for x in split] == ["Split", "ByteLevel"]
         and split[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        and spec["model"]["type"] == "BPE"
-        and not spec["model"].get("dropout")
+        and type(made.model).__name__ == "BPE"
+        and not made.model.dropout
     )
     if by_word:
         special = [t.content for t in made.get_added_tokens_decoder().values()]
@@ -197,6 +197,18 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) if c != "ids_crc32" else crc for c in OUT], names=OUT)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Texts go to Python in batches of fewer rows than usual while tables are written within, so that an executor's buffers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -217,18 +229,19 @@ def pack_by_patterns(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         tidy(token_rows(tokenizer, capacity, end_id)), "part int, doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, rank long, ids binary"
     )
-    items = materialize(made, "token-rows")
+    with small_batches(df.sparkSession):
+        items = materialize(made, "token-rows")
     rests = items.filter(F.col("length") < capacity).drop("ids")
     plan = plan_lengths(rests, capacity, rows)
     counts = rests.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each task
     firsts = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     ranked = rests.join(firsts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("first")).drop("first")
-    placed = materialize(ranked.mapInArrow(places(plan, capacity), "doc_id long, part int, row long, start long, begin long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "places")
+    placed = materialize(ranked.mapInArrow(tidy(places(plan, capacity)), "doc_id long, part int, row long, start long, begin long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "places")
     kept = placed.filter("ids_crc32 is not null").select(OUT)
     cut = placed.filter("ids_crc32 is null")
     cut = F.broadcast(cut) if cut.count() <= few_cuts else cut  # else ids are shuffled to their cuts
-    cut = items.select("part", "row", "ids").join(cut, ["part", "row"]).mapInArrow(_checksums, kept.schema)
+    cut = items.select("part", "row", "ids").join(cut, ["part", "row"]).mapInArrow(tidy(_checksums), kept.schema)
     own = -1 - (F.col("part").cast("long") * F.lit(1 << 36) + F.col("row"))  # a full sequence of one document needs no place
     full = items.filter(F.col("length") == capacity).withColumn("sequence_id", own).withColumn("offset", F.lit(0).cast("long")).select(OUT)
     return kept.unionByName(cut).unionByName(full)
