@@ -168,7 +168,7 @@ def hash_folds(s, d):
 _WORDS3 = "SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}]+')[1:3], ' ') AS p FROM benchmark"
 
 
-@query(f"WITH p AS ({_WORDS3}) SELECT doc_id, item_id FROM documents, p WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || p || '($|[^\\p{{L}}\\p{{N}}_])')", shared=False)
+@query(f"WITH p AS ({_WORDS3}), c AS MATERIALIZED (SELECT doc_id, item_id, p, lower(text) AS t FROM documents, p WHERE contains(lower(text), p)) SELECT doc_id, item_id FROM c WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || p || '($|[^\\p{{L}}\\p{{N}}_])')", shared=False)
 def pattern_automaton(s, d):
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), 1, 3)
     items = T(s, d, "benchmark").select("item_id", F.array_join(words, " ").alias("pattern"))
