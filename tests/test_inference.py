@@ -309,3 +309,48 @@ def test_gvif(spark, people):
         rest = [k for k in range(4) if k not in own]
         want = np.linalg.det(r[np.ix_(own, own)]) * np.linalg.det(r[np.ix_(rest, rest)]) / np.linalg.det(r)
         assert got[name].gvif == pytest.approx(want) and got[name].df == len(own) and got[name].scaled == pytest.approx(want ** (1 / (2 * len(own))))
+
+
+@pytest.mark.parametrize("cells,pairs,chunk,per", [(1 << 30, 50, 7, 6), (0, 50, 7, 6), (0, 10**9, 5, 50), (1 << 30, 10**9, 5, 50)])
+def test_pair_counts_by_tiles(spark, monkeypatch, cells, pairs, chunk, per):
+    import random
+    from collections import Counter
+    from exposight.operators import relational
+
+    for k, v in (("_CELLS", cells), ("_PAIRS", pairs), ("_CHUNK", chunk)):
+        monkeypatch.setattr(relational, k, v)
+    r = random.Random(3)
+    rows = [(r.randrange(12), f"s{r.randrange(40)}") for _ in range(250)] + [(None, "s1"), (99, "s39")]
+    of = {}
+    for p, v in rows:
+        if p is not None:
+            of.setdefault(p, set()).add(v)
+    want = Counter((i, j) for s in of.values() for i in s for j in s)
+    df = spark.createDataFrame(rows, "p long, s string")
+    assert {(x.i, x.j): x.x for x in relational.pair_counts(df, "p", "s", per).collect()} == dict(want)
+    half = relational.pair_counts(df, "p", "s", per, both=False).collect()
+    assert {(x.i, x.j): x.x for x in half} == {k: x for k, x in want.items() if k[0] <= k[1]}
+
+
+def test_pair_counts_shuffle_no_pairs(spark):
+    """300 people of the same 120 values: 2 million pairs, no step but the counts makes more rows than the input has."""
+    from exposight.operators.relational import pair_counts
+
+    df = spark.range(36_000).selectExpr("id % 300 p", "id div 300 s")
+    out = pair_counts(df, "p", "s")
+    assert {r.x for r in out.collect()} == {300}
+    sizes = []
+
+    def walk(p):
+        if p.metrics().contains("numOutputRows"):
+            sizes.append(p.metrics().apply("numOutputRows").value())
+        for k in range(p.children().size()):
+            walk(p.children().apply(k))
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(p.plan())
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert sizes and max(sizes) <= 36_000
