@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import tidy
+from ._spark import materialize, tidy
 
 # Letters that digits and symbols stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
@@ -171,56 +173,55 @@ class Reader:
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each feature the rows that have it, by label; for each character trigram its count."""
+    made: dict[str, tuple[str, ...]] = {}
     for batch in batches:
-        pos, neg, tri = Counter(), Counter(), Counter()
+        pos, neg, tri, seen = Counter(), Counter(), Counter(), Counter()
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             words = {w for w in _WORD.findall((text or "").lower()) if len(w) <= 40}
-            (pos if y else neg).update({f for w in words for f in features(w)})
+            seen.update(words)
             for w in words:
-                if len(w) > 2:
-                    w = f"^^{w}$"
-                    tri.update(w[i : i + 3] for i in range(len(w) - 2))
+                if w not in made:
+                    made[w] = tuple(features(w))
+            (pos if y else neg).update(set().union(*[made[w] for w in words]))
+        for w, n in seen.items():
+            if len(w) > 2:
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    tri[w[i : i + 3]] += n
+        if len(made) > CACHE:
+            made.clear()
         keys = list({*pos, *neg})
         yield pa.RecordBatch.from_pydict({"kind": pa.array([0] * len(keys) + [1] * len(tri), pa.int32()), "f": keys + list(tri), "pos": pa.array([pos[k] for k in keys] + list(tri.values()), pa.int64()), "neg": pa.array([neg[k] for k in keys] + [0] * len(tri), pa.int64())})
 
 
-def _logistic(rows: list[list[int]], y: np.ndarray, width: int, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression over sparse 0/1 features by Adam, full batch."""
-    r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    c = np.concatenate([np.array(x, int) for x in rows]) if len(rows) else np.zeros(0, int)
-    w, p = np.zeros(width + 1), float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
-    w[-1] = math.log(p / (1 - p))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(r, w[c], len(rows)) + w[-1]
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(c, e[r], width) + ridge / len(y) * w[:-1], e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+def _logistic(rows: DataFrame, width: int, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression over sparse 0/1 features of rows(y, x, n), x their indices as text, by Spark ML."""
+    n = rows.agg(F.sum("n")).first()[0]
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(width)], inputCol="x", outputCol="v").setBinary(True).transform(rows)
+    model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="n", regParam=ridge / n, maxIter=60, standardization=False).fit(vectors.select("v", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n")))
+    return model.coefficients.toArray(), float(model.intercept)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, width: int = 2048, trigrams: int = 50_000, least: int = 5, lift: float = 8.0) -> dict:
-    """A model from labelled documents: at most about `sample` of them, picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", width: int = 2048, trigrams: int = 50_000, least: int = 5, lift: float = 8.0) -> dict:
+    """A model from all labelled documents.
 
     width bounds the features, trigrams the character model.  A feature needs `least` toxic documents and must be
     `lift` times as frequent in toxic as in other ones.  Labels that are null, or of unknown documents, are ignored;
-    an id with several labels has the greatest.  Without labels of both kinds the score is a constant.
+    an id with several labels has the greatest.  Without labels of both kinds the score is a constant.  Documents with the
+    same features and label are one weighted row of the regression, which runs on the executors.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    n = known.count()
-    if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")  # about `sample` rows of two numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")  # two numbers for each label, so that texts are not shuffled
     totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_pos, n_neg = totals.get(1, 0), sum(c for y, c in totals.items() if y != 1)
     if not n_pos or not n_neg:
         return {"index": {}, "weights": np.zeros(0), "bias": 4.0 if n_pos else -4.0, "tri": {}}
     counts = rows.select("text", "y").mapInArrow(tidy(_count_features), "kind int, f string, pos long, neg long").groupBy("kind", "f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = materialize(counts.filter(f"kind = 1 or pos >= {least}"), "features")
     tri_rows = counts.filter("kind = 1").orderBy(F.desc("pos"), "f").limit(trigrams)
     rate = (F.col("pos") / n_pos) / ((F.col("neg") + 1) / n_neg)
-    feats = counts.filter(f"kind = 0 and pos >= {least}").filter(rate >= lift).orderBy(F.desc(F.col("pos") - F.col("neg") * n_pos / n_neg), "f").limit(width)
+    feats = counts.filter("kind = 0").filter(rate >= lift).orderBy(F.desc(F.col("pos") - F.col("neg") * n_pos / n_neg), "f").limit(width)
     picked = [r["f"] for r in feats.collect()]
     tri = Counter({r["f"]: float(r["pos"]) for r in tri_rows.collect()})
     boost = max(10.0, sum(tri.values()) / 5000)
@@ -230,15 +231,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i in range(len(w) - 2):
                 tri[w[i : i + 3]] += boost
     index = {f: i for i, f in enumerate(picked)}
+    if not picked:
+        return {"index": {}, "weights": np.zeros(0), "bias": math.log(n_pos / n_neg), "tri": dict(tri)}
     shared = spark.sparkContext.broadcast((index, dict(tri)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(shared.value[0], CharModel(shared.value[1]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array([sorted(read(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array([list(map(str, sorted(read(t)))) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["y", "x"])
 
-    got = rows.select("text", "y").mapInArrow(tidy(vectors), "y int, x array<int>").toArrow()  # about `sample` rows
-    weights, bias = _logistic(got.column("x").to_pylist(), np.array(got.column("y").to_pylist(), float), len(picked))
+    got = rows.select("text", "y").mapInArrow(tidy(vectors), "y int, x array<string>").groupBy("y", "x").agg(F.count("*").alias("n"))
+    weights, bias = _logistic(materialize(got.select(F.when(F.col("y") == 1, 1).otherwise(0).alias("y"), "x", "n"), "vectors"), len(picked))
     return {"index": index, "weights": weights, "bias": bias, "tri": dict(tri)}
 
 

@@ -556,6 +556,17 @@ def test_alignment_of_a_long_item_takes_little_memory():
     tracemalloc.stop()
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """Eight toxic rows among 40,000 labelled ones share a word: a half of the rows would show it too seldom."""
+    base = spark.range(40_000)
+    texts = base.selectExpr("id doc_id", "CASE WHEN id % 5000 = 7 THEN 'what a zorgle of a day' ELSE concat('plain words number ', id % 97) END text")
+    rare = base.selectExpr("id doc_id", "CAST(id % 5000 = 7 AS INT) toxic")
+    model = toxicity.fit(texts, rare, least=8)
+    assert "zorgle" in model["index"]
+    got = {r["text"]: r["score"] for r in toxicity.score(spark.createDataFrame([("what a zorgle of a day",), ("plain words",)], "text string"), model).collect()}
+    assert got["what a zorgle of a day"] > 0.5 > got["plain words"]
+
+
 def test_toxicity_without_an_id_is_not_held_out(spark, tmp_path):
     from exposight.llm import queries
 
