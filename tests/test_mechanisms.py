@@ -168,3 +168,28 @@ def test_cap_by_day_with_restart(spark, tmp_path):
     assert got == cap_batch(rows, 2)
     assert dropped == 1 and 999 not in {r.event_id for r in spark.read.schema(schema).parquet(f"file://{out}").collect()}
     assert sizes[-1] <= 2 * 4 * 5  # counts and timers of the open days, not of all eight
+
+
+def test_cap_by_day_of_many_people(spark, tmp_path):
+    """Two batches, people without an id among them; a day's people share a few groups of state."""
+    rng = random.Random(7)
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [(rng.choice([None, *range(100)]), t0 + dt.timedelta(seconds=k * 150), k) for k in range(800)]
+    schema, src, out, state = "user_id long, ts timestamp, event_id long", f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    spark.conf.set(*streams.ROCKS)
+    try:
+        for part in (rows[:300], rows[300:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{src}")
+            stream = streams.capped_daily(spark.readStream.schema(schema).parquet(f"file://{src}"), "user_id", "ts", ["event_id"], 3, buckets=2)
+            q = stream.writeStream.format("parquet").option("path", f"file://{out}").option("checkpointLocation", f"file://{state}").trigger(availableNow=True).start()
+            q.awaitTermination()
+            size = max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators)
+    finally:
+        spark.conf.unset(streams.ROCKS[0])
+    got, seen, want = {(r.user_id, r.event_id) for r in spark.read.schema(schema).parquet(f"file://{out}").collect()}, {}, set()
+    for who, at, k in rows:
+        seen[who, at.date()] = seen.get((who, at.date()), 0) + 1
+        if seen[who, at.date()] <= 3:
+            want.add((who, k))
+    assert got == want
+    assert size <= 4 * 3 * 4  # people and nobody, by day
