@@ -386,6 +386,26 @@ def test_lm_ships_trigrams(spark):
     assert all(math.isclose(got["shipped"][i], got[3][i], rel_tol=1e-6) and got["shipped"][i] > got[2][i] + 0.1 for i, _ in rows)
 
 
+def test_lm_passes_do_not_grow_with_the_automaton(spark, monkeypatch):
+    """An automaton over the bound is joined: as many tables are written for a large one as for a small one, with the sums of a broadcast one."""
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(lm_score, "PART_CHARS", 500)
+    monkeypatch.setattr(lm_score, "HOT", 30)
+    written, write = [], lm_score.materialize
+    monkeypatch.setattr(lm_score, "materialize", lambda df, name: written.append(name) or write(df, name))
+    passes = []
+    for size in (10, 60):
+        rows = [(i, f"w{i % size} w{i * i % size} w{i % 7} once{i} w{i % size}") for i in range(4 * size)] + [(7, "w1 w2"), (7, "w1 w2"), (None, "w1 w1"), (900, None)]
+        del written[:]
+        joined = sorted(map(tuple, lm_score.lm_scores(docs(spark, rows), block_keys=4, single_keys=4).collect()), key=str)
+        passes.append(len(written))
+        plain = sorted(map(tuple, lm_score.lm_scores(docs(spark, rows)).collect()), key=str)
+        assert len(joined) == len(plain) == len(rows)
+        for a, b in zip(joined, plain):
+            assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6) for x, y in zip(a[5:], b[5:]))
+    assert passes[0] == passes[1]
+
+
 def test_licenses(spark):
     rows = [*EDGE, (20, "Prose here.\nReleased under the MIT License."), (21, "Licensed under the Apache License, Version 2.0."), (22, "This work is licensed under the GNU General Public License, version 3."), (23, "Licensed under CC BY-NC 4.0."), (24, "She renewed her driver license."), (25, "The fishing license of the general public.")]
     got = licenses.scan_licenses(docs(spark, rows)).collect()
