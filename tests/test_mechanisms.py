@@ -193,3 +193,18 @@ def test_cap_by_day_of_many_people(spark, tmp_path):
             want.add((who, k))
     assert got == want
     assert size <= 4 * 3 * 4  # people and nobody, by day
+
+
+def test_naive_bayes_shuffles_no_pairs(spark):
+    """Pairs of documents and words meet a small vocabulary where they are; the scores are those of the plain form."""
+    from exposight.operators import models
+    from exposight.plans import catalogue
+
+    sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"]), (3, ["b"]), (4, ["d"]), (5, [])], "doc long, words array<string>")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (9, 0)], "doc long, y int")
+    got = models.naive_bayes_sets(sets, labels, "doc", "words", "y")
+    want = models.naive_bayes_scores(sets.selectExpr("doc", "explode(words) as word"), labels, "doc", "word", "y")
+    rounded = lambda df: {(r["doc"], round(r["llr"], 9)) for r in df.collect()}
+    assert rounded(got) == rounded(want) and got.count() == 4
+    plan = catalogue.queries()["nb_llr_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in plan
