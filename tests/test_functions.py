@@ -77,3 +77,13 @@ def test_nothing_imports_the_corpus_operators():
             for n in names:
                 if n.endswith(".py"):
                     assert not re.search(r"^\s*(from|import) .*\bllm\b", open(os.path.join(d, n)).read(), re.M)
+
+
+def test_page_anchors_hold_no_paragraphs(spark):
+    from exposight.functions import pages
+
+    html = "<title>T</title><p>one <a href='/x'>X</a> two <b><a href='/y'>Y</a></b></p>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "no links")], "id long, html string").select("id", pages.page_anchors("html").alias("m")).select("id", "m.*")
+    assert df.schema["links"].dataType.elementType.names == ["href", "text", "parent"]
+    got = {r["id"]: (r["title"], [tuple(x) for x in r["links"]]) for r in df.collect()}
+    assert got == {1: ("T", [("/x", "X", "p"), ("/y", "Y", "b")]), 2: ("", []), 3: ("", [])}
