@@ -354,3 +354,19 @@ def test_pair_counts_shuffle_no_pairs(spark):
 
     walk(out._jdf.queryExecution().executedPlan())
     assert sizes and max(sizes) <= 36_000
+
+
+def test_walktrap_joins_twins_first(spark, monkeypatch):
+    """Cliques: walks are followed from one node of each class of twins, and no pair of twins meets."""
+    seen = []
+    real = communities.walk_vectors
+
+    def spy(links, nodes, *more):
+        seen.append((nodes.count(), links.count()))
+        return real(links, nodes, *more)
+
+    monkeypatch.setattr(communities, "walk_vectors", spy)
+    edges = [(12 * g + a, 12 * g + b, 1.0) for g in range(4) for a in range(12) for b in range(a + 1, 12)] + [(12 * g + 11, 12 * g + 12, 1.0) for g in range(3)]
+    got = {r.node: r.cluster for r in communities.walktrap(frame(spark, edges), "w").collect()}
+    assert got == walktrap_plain(edges, 4) == {k: k - k % 12 for k in range(48)}
+    assert seen == [(10, 22)]  # of 48 nodes and 534 links in both directions
