@@ -4,8 +4,8 @@ Each permutation (multiply-add of the 64-bit shingle hash) gives both its minimu
 signature of 80 values; bands of 4 values find candidates.  Documents with equal sets are one class, known by the set's digest.
 Within a bucket classes meet one pivot, and confirmed links merge components.  What then lies in different components is
 compared pair by pair in small buckets.  In a larger one two members can only be linked if what they have of its core (the
-pivot and the shingles most members have) suffices, which is checked from counts, or if they share a shingle outside
-it, which makes them a bucket of the next round.  So a group of copies costs about its size and no link between
+pivot and the shingles most members have) suffices, which is checked from counts, or if they share one of their first
+shingles outside it, which makes them a bucket of the next round.  So a group of copies costs about its size and no link between
 different texts is lost.  A pair's sets are only fetched where its signatures agree as linked ones do.
 """
 
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words
@@ -27,6 +26,10 @@ from .components import connected_components
 _U = np.uint64
 
 
+#: Members of a group that are asked for its core, about so many.
+SOME = 64
+
+
 def shingles(chunk: _words.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each row, sorted within it, and bounds by row; short rows have their whole sequence."""
     hashes, bounds = chunk.ngrams(n)
@@ -146,6 +149,11 @@ def may_link(common, least, size, share: int, whole: int):
     return reaches(common, F.greatest(common, least), size, share, whole)
 
 
+def first_of(extras, short):
+    """All but the last short - 1 of a set in order: two sets that have as many in common as either's `short` share one of these."""
+    return F.slice(F.array_sort(extras), F.lit(1), F.size(extras) - short + 1)
+
+
 def fewest_alike(values: int, share: int, whole: int, risk: float = 1e-9) -> int:
     """The number of equal signature values that a pair of this similarity falls short of with a probability of `risk` at most."""
     p, total = share / whole, 0.0
@@ -242,28 +250,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = groups.count()
         if not left:
             break
-        compared = both(groups, sets, "set").join(groups.groupBy("p").agg(F.count("*").alias("of")), "p").withColumn("common", F.size(F.array_intersect("set_m", "set_p"))).withColumn("extras", F.array_except("set_m", "set_p")).drop("set_m", "set_p")
-        compared = materialize(compared, "compared")
-        outside = compared.select("p", "m", "of", "comp", F.explode("extras").alias("x"))
-        useful = outside.groupBy("p", "x").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("often"), F.first("of").alias("of"))
-        useful = materialize(useful.filter("c0 <> c1").select("p", "x", "often", (2 * F.col("often") > F.col("of")).alias("core")), "useful")
-        outside = materialize(outside.select("p", "m", "x").join(useful, ["p", "x"]), "outside")
-        frequent = outside.groupBy("p", "m").agg(F.count_if("core").alias("more"), F.count_if(~F.col("core")).alias("useful"))
-        met = compared.drop("extras").join(frequent, ["p", "m"], "left").withColumn("common", F.col("common") + F.coalesce("more", F.lit(0))).fillna(0, ["useful"])
-        met = materialize(met.drop("more"), "met")
+        met = both(groups, sets, "set").join(groups.groupBy("p").agg(F.count("*").alias("of")), "p").withColumn("common", F.size(F.array_intersect("set_m", "set_p"))).withColumn("extras", F.array_except("set_m", "set_p")).drop("set_m", "set_p")
+        met = materialize(met, "compared")
+        # Any core gives exact bounds; the shingles that most of about `SOME` members have are found without going through all of a group's.
+        asked = met.filter(F.pmod(F.xxhash64("m"), F.ceil(F.col("of") / SOME)) == 0)
+        often = asked.select("p", F.explode("extras").alias("x")).groupBy("p", "x").agg(F.count("*").alias("often"))
+        core = often.join(asked.groupBy("p").agg(F.count("*").alias("n")), "p").filter(2 * F.col("often") > F.col("n")).groupBy("p").agg(F.collect_list("x").alias("core"))
+        met = met.join(core, "p", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+        met = met.withColumn("common", F.col("common") + F.size(F.array_intersect("extras", "core"))).withColumn("extras", F.array_except("extras", "core")).drop("core")
+        met = materialize(met, "met")
         # Inside the core: only a member whose count of it suffices for some partner, with those whose count suffices too.
         some = met.filter(may_link(F.col("common"), F.col("least"), F.col("n_shingles"), share, whole))
         some = some.select("p", F.col("m").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("common").alias("xb"))
         close = met.join(some, "p").filter(F.col("comp") != F.col("cb")).filter(reaches(F.least("common", "xb"), F.col("n_shingles"), F.col("nb"), share, whole))
         comps = _joined(comps, confirm(close.select(F.least("m", "b").alias("p"), F.greatest("m", "b").alias("m")).distinct()))
-        # Outside it a member needs `short` shingles in common with a partner; with shingles in one order, the useful ones
-        # last, two partners then share one among all but the last short - 1 of each.
+        # Outside it a member needs `short` shingles in common with a partner; with shingles in one order two partners then
+        # share one among all but the last short - 1 of each.  Only those become rows: the further a member is from the core, the fewer.
         partner = F.greatest(F.col("least"), F.ceil(F.col("n_shingles") * share / whole))
         short = F.greatest(F.lit(1), F.ceil((F.col("n_shingles") + partner) * share / (share + whole)) - F.col("common"))
-        met = met.withColumn("short", short).filter("useful >= short").drop("comp").join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn("comp", F.coalesce("component", "m"))
-        ranked = outside.filter(~F.col("core")).select("p", "m", "x", "often").join(met.select("p", "m", "comp", "n_shingles", "useful", "short"), ["p", "m"])
-        ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("p", "m").orderBy("often", "x"))).filter("rank <= useful - short + 1")
-        outside = ranked.select(F.xxhash64("p", "x").alias("key"), F.col("m").alias("node"), "comp", "n_shingles")
+        met = met.withColumn("short", short.cast("int")).filter(F.size("extras") >= F.col("short")).drop("comp").join(comps.withColumnRenamed("node", "m"), "m", "left").withColumn("comp", F.coalesce("component", "m"))
+        outside = materialize(met.select("p", "m", "comp", "n_shingles", F.explode(first_of(F.col("extras"), F.col("short"))).alias("x")), "outside").select(F.xxhash64("p", "x").alias("key"), F.col("m").alias("node"), "comp", "n_shingles")
         again = outside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("in_key")).filter("c0 <> c1").select("key", "in_key")
         posts = materialize(outside.join(again, "key").select("key", "node", "n_shingles", "in_key", "comp"), "posts")
         left = posts.count()

@@ -191,6 +191,16 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8)]
 
 
+def test_near_duplicates_first_of(spark):
+    """Sets that share enough meet by their first members; a set far from its core makes few rows."""
+    rng = np.random.default_rng(5)
+    rows = [(k, sorted(map(int, rng.choice(40, 20, False))), int(rng.integers(1, 21))) for k in range(60)]
+    got = {r["k"]: (set(r["x"]), r["short"]) for r in spark.createDataFrame(rows, "k int, extras array<long>, short int").select("k", "short", near_dup.first_of(F.col("extras"), F.col("short")).alias("x")).collect()}
+    full = {k: set(x) for k, x, _ in rows}
+    assert all(len(x) == 20 - short + 1 for x, short in got.values())
+    assert all(got[a][0] & got[b][0] for a in full for b in full if len(full[a] & full[b]) >= max(got[a][1], got[b][1]))
+
+
 def test_near_duplicates_bound(spark):
     cases = [(c, low, n) for n in range(1, 22) for c in range(1, n + 1) for low in range(1, 26)]
     want = {(c, low, n) for c, low, n in cases if any(100 * min(a, c) >= 85 * (a + n - min(a, c)) for a in range(low, 60))}
