@@ -179,6 +179,17 @@ def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(fresh), "comps")
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """groups(p, m, comp, n_shingles, least) with those that share members made one, about the pivot of most of them.
+
+    That pivot stays a member, as it has met its own groups only."""
+    of = materialize(connected_components(groups.select(F.col("p").alias("a"), F.col("m").alias("b"))), "merging")
+    sizes = groups.groupBy("p").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    middle = sizes.join(of.withColumnRenamed("node", "p"), "p").groupBy("component").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("p"), F.min("least").alias("least"))
+    members = groups.groupBy("m").agg(F.first("comp").alias("comp"), F.first("n_shingles").alias("n_shingles"))
+    return members.join(of.withColumnRenamed("node", "m"), "m").join(middle, "component").select("p", "m", "comp", "n_shingles", "least")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 85, whole: int = 100, bands: int = 20, rows: int = 4, direct: int = 32, rounds: int = 8, few: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df.
 
@@ -234,7 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return one.join(two, by).filter("p < m and cp <> cm").select("p", "m").distinct()
 
     comps, left = None, 0
-    for _ in range(rounds):
+    for first in [True] + [False] * (rounds - 1):
         # The member that meets most others is the pivot: in a group of edited copies, the text they were made from.
         weights = posts.groupBy("node").agg(F.sum("in_key").alias("weight"))
         pivots = posts.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("p"), F.min("n_shingles").alias("least"))
@@ -250,6 +261,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = groups.count()
         if not left:
             break
+        if first:  # groups that share members are one, so that a member in many of them is compared, and makes rows, once
+            groups = materialize(_merged(groups), "merged")
         met = both(groups, sets, "set").join(groups.groupBy("p").agg(F.count("*").alias("of")), "p").withColumn("common", F.size(F.array_intersect("set_m", "set_p"))).withColumn("extras", F.array_except("set_m", "set_p")).drop("set_m", "set_p")
         met = materialize(met, "compared")
         # Any core gives exact bounds; the shingles that most of about `SOME` members have are found without going through all of a group's.
@@ -272,10 +285,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         outside = materialize(met.select("p", "m", "comp", "n_shingles", F.explode(first_of(F.col("extras"), F.col("short"))).alias("x")), "outside").select(F.xxhash64("p", "x").alias("key"), F.col("m").alias("node"), "comp", "n_shingles")
         again = outside.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("in_key")).filter("c0 <> c1").select("key", "in_key")
         posts = materialize(outside.join(again, "key").select("key", "node", "n_shingles", "in_key", "comp"), "posts")
-        left = posts.count()
-        if not left:
+        left, pairs = posts.agg(F.count("*"), F.sum(F.col("in_key") - 1) / 2).first()
+        if not left or pairs <= direct * left:  # pair by pair is in proportion to the rows
             break
-    if left:  # what `rounds` have not settled, pair by pair
+    if left:  # pair by pair, as is what `rounds` have not settled
         comps = _joined(comps, confirm(crossing(posts.withColumnRenamed("node", "m"), "key")))
     # An id with several texts joins their classes.
     member = materialize(full.select("id", *digest).join(classes.select("node", *digest), digest).select("id", "node", *digest), "members")
