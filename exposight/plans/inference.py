@@ -138,7 +138,7 @@ _SQL["backbone_pvalue"] = (
 
 @query(_SQL["backbone_pvalue"], shared=False)
 def backbone_pvalue(s, d):
-    return graph.significance(graph.backbone(graph.keep(_pairs(s, d)))).select("i", "j", "x", F.round("significance", 5).alias("significance"))
+    return graph.significance(graph.backbone(_pairs(s, d, both=False, weights=True))).select("i", "j", "x", F.round("significance", 5).alias("significance"))
 
 
 # Regressions
